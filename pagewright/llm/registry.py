@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, ngram_join, sharding
+from . import decontamination, mixing, ngram_join, sharding, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_pairs(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op7_ngram_join, op8_mixing, op9_decontamination)}
+    return {f.__name__: f for f in (op1_sharding, op6_toxicity, op7_ngram_join, op8_mixing, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
