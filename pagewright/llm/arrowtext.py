@@ -27,6 +27,8 @@ _inv = np.ones(1, np.uint64)
 
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+KIND = np.where(WORD, 1, 2).astype(np.int8)
+KIND[:33] = 0
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -103,12 +105,23 @@ class Words:
 
 
 def words(texts: pa.Array) -> Words:
-    data, offsets = raw(pc.utf8_lower(texts))
-    m = WORD[data]
+    return _runs(*raw(pc.utf8_lower(texts)), WORD)
+
+
+def tokens(texts: pa.Array) -> Words:
+    """Words with their case kept, and runs of other visible ASCII, each a token."""
+    return _runs(*raw(texts), KIND)
+
+
+def _runs(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
+    """Maximal runs, within a row, of bytes of one kind other than 0."""
     if len(data):
+        k = kind[data]
+        m = k != 0
         begins, ends = m.copy(), m.copy()
-        begins[1:] &= ~m[:-1]
-        ends[:-1] &= ~m[1:]
+        same = k[1:] == k[:-1]
+        begins[1:] &= ~same
+        ends[:-1] &= ~same
         inner = offsets[(offsets > 0) & (offsets < len(data))]  # a row's edge also parts words
         begins[inner] = m[inner]
         ends[inner - 1] = m[inner - 1]
