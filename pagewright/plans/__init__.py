@@ -1 +1 @@
-"""Part of pagewright."""
+"""Workflows over pages, and the registered queries."""

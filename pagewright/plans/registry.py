@@ -23,8 +23,12 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import queries as _  # noqa: F401  registers them
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import queries as _  # noqa: F401
+
     return dict(_SQL)
