@@ -88,5 +88,5 @@ def workflow_key(*fields: str) -> Column:
 
 def poly_bbox(poly: Str) -> Column:
     """[left, top, width, height] of a polygon of (x, y) points, each truncated to whole numbers."""
-    xs, ys = (F.transform(_c(poly), lambda p, i=i: p[i].cast("int")) for i in (0, 1))
+    xs, ys = F.transform(_c(poly), lambda p: p[0].cast("int")), F.transform(_c(poly), lambda p: p[1].cast("int"))
     return F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
