@@ -108,6 +108,11 @@ def words(texts: pa.Array) -> Words:
     return _runs(*raw(pc.utf8_lower(texts)), WORD)
 
 
+def words_sql(text: str) -> str:
+    """The list of a text's words in DuckDB."""
+    return rf"regexp_extract_all(lower({text}), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+
+
 def tokens(texts: pa.Array) -> Words:
     """Words with their case kept, and runs of other visible ASCII, each a token."""
     return _runs(*raw(texts), KIND)

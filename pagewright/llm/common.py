@@ -50,6 +50,17 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in clash))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of df has, for columns that an operator adds and drops again."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def draw(id_column: Column, seed: str) -> Column:
     """A number in [0, 1) that depends on the id and the seed alone, so retried tasks and other engines agree.
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as T
-from .common import small, written
+from .common import fresh, small, written
 
 SHINGLE, CONTAINMENT, HASHES = 5, 0.6, 24
 PASS_BYTES = 16 << 20
@@ -82,7 +82,7 @@ def _candidates(s: np.ndarray, rows: np.ndarray, classes: list[int], index: T.In
     least = classes[0]
 
     def starts(m: int) -> tuple[np.ndarray, np.ndarray]:
-        blocks = -(-count[live] >> m) if False else (count[live] + (1 << m) - 1) >> m
+        blocks = (count[live] + (1 << m) - 1) >> m
         return blocks, np.concatenate(([0], np.cumsum(blocks)))
 
     blocks, edge = starts(least)
@@ -140,9 +140,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     """Pairs (doc_id, item_id, containment, shingles): the item's distinct word shingles that the document holds.
 
     A pair is given if that share is at least ``containment``. Shingles are runs of ``shingle`` words; an item of
-    fewer words is one shingle, sought as a run of words of its own length. Null and wordless texts match nothing. Null ids are given as nulls. Repeated rows
-    and tied pairs are each given. The whole text is searched, however long. Other columns are not read. An empty
-    side gives an empty result.
+    fewer words is one shingle, sought as a run of words of its own length. Null and wordless texts match nothing.
+    Null ids are given as nulls. Repeated rows and tied pairs are each given. The whole text is searched, however
+    long. Other columns are not read. An empty side gives an empty result.
     """
     spark = docs.sparkSession
     kinds = {f.name: f.dataType for f in [*docs.select(F.col(id_column).alias("doc_id")).schema, *benchmark.select(F.col(item_column).alias("item_id")).schema]}
@@ -171,6 +171,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 
     All columns pass through; rows keep their multiplicity.
     """
-    spark = docs.sparkSession
-    bad = written(contaminated(docs, benchmark, id_column, **options).select(F.col("doc_id").alias("_bad")).distinct(), "leaks")
-    return docs.join(small(bad), F.col(id_column).eqNullSafe(F.col("_bad")), "left_anti")
+    (name,) = fresh(docs, "_bad")
+    bad = written(contaminated(docs, benchmark, id_column, **options).select(F.col("doc_id").alias(name)).distinct(), "leaks")
+    return docs.join(small(bad), F.col(id_column).eqNullSafe(F.col(name)), "left_anti")
+
+
+def contaminated_sql() -> str:
+    """contaminated of the tables, by joining all shingles, as DuckDB SQL for the default parameters."""
+    return rf"""
+WITH d AS (SELECT doc_id, {T.words_sql("text")} AS ws FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, ws, least({SHINGLE}, len(ws)) AS g FROM (SELECT item_id, {T.words_sql("text")} AS ws FROM benchmark WHERE text IS NOT NULL) WHERE len(ws) > 0),
+own AS (SELECT DISTINCT item_id, g, unnest(list_transform(range(1, len(ws) - g + 2), lambda k: array_to_string(ws[k : k + g - 1], ' '))) AS s FROM i),
+size AS (SELECT item_id, count(*) AS n FROM own GROUP BY item_id),
+have AS (SELECT DISTINCT doc_id, g, unnest(list_transform(range(1, len(ws) - g + 2), lambda k: array_to_string(ws[k : k + g - 1], ' '))) AS s FROM d, (SELECT DISTINCT g FROM i) WHERE len(ws) >= g)
+SELECT doc_id, item_id, count(*) / any_value(n)::DOUBLE AS containment, any_value(n)::INTEGER AS shingles FROM own JOIN have USING (g, s) JOIN size USING (item_id)
+GROUP BY doc_id, item_id HAVING count(*) / any_value(n)::DOUBLE >= {CONTAINMENT}"""

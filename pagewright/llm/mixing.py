@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import draw, draw_sql, small, text_bytes, without, written
+from .common import draw, draw_sql, fresh, small, text_bytes, without, written
 
 MAX_EPOCHS, TEMPERATURE = 4.0, 0.9
 
@@ -57,12 +57,13 @@ def mix(df: DataFrame, source: str = "source", id_column: str = "doc_id", text:
     empty df gives an empty result. A column named repetition is replaced; others pass through.
     """
     base = without(df, ["repetition"])
-    plan = written(allocation(base, source, text, **options).select(F.col("s").alias("_s"), F.col("epochs").alias("_e")), "mix-plan")
-    out = base.join(small(plan), F.coalesce(F.col(source).cast("string"), F.lit("")) == F.col("_s"))
-    whole = F.floor("_e")
-    copies = (whole + F.when(draw(F.col(id_column), seed) < F.col("_e") - whole, 1).otherwise(0)).cast("int")
-    out = out.withColumn("_n", copies).where("_n > 0")
-    return out.withColumn("repetition", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_s", "_e", "_n")
+    s, e, n = fresh(base, "_s", "_e", "_n")
+    plan = written(allocation(base, source, text, **options).select(F.col("s").alias(s), F.col("epochs").alias(e)), "mix-plan")
+    out = base.join(small(plan), F.coalesce(F.col(source).cast("string"), F.lit("")) == F.col(s))
+    whole = F.floor(e)
+    copies = (whole + F.when(draw(F.col(id_column), seed) < F.col(e) - whole, 1).otherwise(0)).cast("int")
+    out = out.withColumn(n, copies).where(F.col(n) > 0)
+    return out.withColumn("repetition", F.explode(F.sequence(F.lit(1), F.col(n)))).drop(s, e, n)
 
 
 def mix_sql(columns: str = "doc_id, text, lang, source, n_chars", seed: str = "mix") -> str:

@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.shard_sql(), "op8_mixing": mixing.mix_sql()}
+    return {"op1_sharding": sharding.shard_sql(), "op7_ngram_join": ngram_join.near_pairs_sql(), "op8_mixing": mixing.mix_sql(), "op9_decontamination": decontamination.contaminated_sql()}

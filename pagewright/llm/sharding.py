@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import draw, draw_sql, text_bytes, without, written
+from .common import draw, draw_sql, fresh, text_bytes, without, written
 
 SHARDS, SHARD_BYTES, OVERSAMPLE, SLACK = 64, 1 << 30, 64, 1.25
 #: Splitters held in memory; beyond it, ask for larger shards.
@@ -70,10 +70,11 @@ def shard(df: DataFrame, key: str = "source", id_column: str = "doc_id", text: s
         parts = math.ceil(b / width) if b > slack * width else 1
         plan.append((r, parts, at))
         at += parts
-    ranges = F.broadcast(spark.createDataFrame(plan, "_r int, _parts int, _at int"))  # a row a range
-    out = base.withColumn("range_id", range_of(sort_key)).join(ranges, F.col("range_id") == F.col("_r"))
-    sub = F.floor(draw(F.col(id_column), seed + "-part") * F.col("_parts"))
-    out = out.withColumn("shard_id", (F.col("_at") + sub).cast("int")).drop("_r", "_parts", "_at")
+    r, parts, first = fresh(base, "_r", "_parts", "_first")
+    ranges = F.broadcast(spark.createDataFrame(plan, f"{r} int, {parts} int, {first} int"))  # a row a range
+    out = base.withColumn("range_id", range_of(sort_key)).join(ranges, F.col("range_id") == F.col(r))
+    sub = F.floor(draw(F.col(id_column), seed + "-part") * F.col(parts))
+    out = out.withColumn("shard_id", (F.col(first) + sub).cast("int")).drop(r, parts, first)
     return out.repartitionById(at, F.col("shard_id"))
 
 

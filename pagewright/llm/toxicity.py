@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as T
-from .common import without
+from .common import fresh
 from .linear import Ftrl, labelled, sigmoid
 
 BITS, TRAIN_ROWS, FOLDS, EPOCHS, L1 = 20, 6000, 3, 3, 4.0
@@ -152,4 +152,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs without the toxic ones. All columns pass through and rows keep their multiplicity."""
     model = fit(docs, labels, id_column=id_column, text=text, **options)
-    return without(docs.withColumn("_toxicity", scored(model, text, docs.sparkSession)).where("not _toxicity.toxic"), ["_toxicity"])
+    (name,) = fresh(docs, "_toxicity")
+    return docs.withColumn(name, scored(model, text, docs.sparkSession)).where(~F.col(f"{name}.toxic")).drop(name)
