@@ -5,8 +5,10 @@ interpolates contexts of five characters down to none: each order's count is smo
 context never seen leaves the shorter one's estimate as it is. A URL's score is the difference of its two log
 likelihoods a character; the filter's threshold is calibrated on URLs held out of training.
 
-Counts are of every URL of the table. They are summed a partition, then by Spark, into tables of hashed contexts
-whose size is fixed, so the model does not grow with the corpus.
+Counts are of every URL of the table, summed a partition and then by Spark, a row a context. The model is all
+contexts that occur: it grows with the corpus as its distinct six-character strings do, which is far slower than the
+number of URLs. A model of more than MODEL_KEYS contexts is refused with an error rather than broadcast: none is
+ever left out.
 """
 
 from __future__ import annotations
@@ -21,8 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as T
+from .common import written
 
-ORDER, SLOT_BITS, STRENGTH, KEPT = 5, 17, 4.0, 0.99
+ORDER, STRENGTH, KEPT = 5, 4.0, 0.99
+#: Contexts that a broadcast model may hold, at some 40 bytes each on every executor.
+MODEL_KEYS = 100_000_000
 #: Hosts that hold one of these are the rejected examples of the query.
 REJECT_TERMS = ("spam", "pills", "casino", "ads-track", "free-bets", "adult")
 
@@ -32,7 +37,7 @@ def host(url: str) -> Column:
 
 
 def _positions(urls: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of (order, context) and of (order, context, character) at each character, and row offsets.
+    """Hashes of (order, context) and of (order, context, character) at each character, and row offsets.
 
     A line feed ends each URL and is a character; contexts do not reach before a URL's beginning.
     """
@@ -41,51 +46,54 @@ def _positions(urls: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows = np.diff(offsets)
     at = np.arange(len(data))
     inside = at - np.repeat(offsets[:-1], rows)
-    context, full = np.empty((ORDER + 1, len(data)), np.int64), np.empty((ORDER + 1, len(data)), np.int64)
+    context, full = np.empty((ORDER + 1, len(data)), np.uint64), np.empty((ORDER + 1, len(data)), np.uint64)
     for k in range(ORDER + 1):
         begin = at - np.minimum(k, inside)
-        salt = np.minimum(k, inside).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for out, end, more in ((context, at, 0), (full, at + 1, 1)):
-            h = T.mix(T.span_hash(p, begin, end) ^ (salt + np.uint64(more)))
-            out[k] = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64) + (k << SLOT_BITS)
+            out[k] = T.mix(T.span_hash(p, begin, end) ^ (np.uint64(2 * k + more) * np.uint64(0x9E3779B97F4A7C15)))
     return context, full, offsets
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(url, group) to sums by (group, table, slot); a group is 2 * rejected + held out."""
-    size = (ORDER + 1) << SLOT_BITS
-    sums: dict[int, np.ndarray] = {}
+    """(url, group) to counts by (group, context), a slice at a time; a group is 2 * rejected + held out."""
     for batch in batches:
         group = batch.column(1).to_numpy(zero_copy_only=False)
         for a, b in T.slices(batch.column(0)):
             context, full, offsets = _positions(batch.column(0).slice(a, b - a))
             of = np.repeat(group[a:b], np.diff(offsets))
             for g in np.unique(of).tolist():
-                got = sums.setdefault(g, np.zeros((2, size), np.int64))
-                got[0] += np.bincount(context[:, of == g].ravel(), minlength=size)
-                got[1] += np.bincount(full[:, of == g].ravel(), minlength=size)
-    for g, got in sums.items():
-        table, slot = np.nonzero(got)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), g, np.int8)), pa.array(table.astype(np.int8)), pa.array(slot.astype(np.int32)), pa.array(got[table, slot])], names=["g", "t", "slot", "n"])
+                h, n = np.unique(np.concatenate((context[:, of == g].ravel(), full[:, of == g].ravel())), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), g, np.int8)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["g", "h", "n"])
 
 
 @dataclass
 class UrlModel:
-    accepted: np.ndarray  # (context and full, slot) counts
+    keys: np.ndarray  # sorted hashes of contexts, with and without the character that follows
+    accepted: np.ndarray  # their counts
     rejected: np.ndarray
     threshold: float
 
+    def __post_init__(self):
+        self.index = T.Index(self.keys)
+
+    def __getstate__(self):
+        return self.keys, self.accepted, self.rejected, self.threshold
+
+    def __setstate__(self, state):
+        self.keys, self.accepted, self.rejected, self.threshold = state
+        self.__post_init__()
+
     def score(self, urls: pa.Array) -> np.ndarray:
         out = np.zeros(len(urls))
         for a, b in T.slices(urls):
             context, full, offsets = _positions(urls.slice(a, b - a))
-            ratio = 0.0
-            for counts, sign in ((self.accepted, 1), (self.rejected, -1)):
-                prob = np.full(context.shape[1], 1 / 256)
-                for k in range(ORDER + 1):
-                    prob = (counts[1][full[k]] + STRENGTH * prob) / (counts[0][context[k]] + STRENGTH)
-                ratio = ratio + sign * np.log(np.minimum(prob, 1.0))
-            total = np.concatenate(([0.0], np.cumsum(ratio)))
+            prob = np.full((2, context.shape[1]), 1 / 256)
+            for k in range(ORDER + 1):
+                c, f = self.index.find(context[k]), self.index.find(full[k])
+                for side, counts in enumerate((self.accepted, self.rejected)):
+                    seen, followed = np.where(c >= 0, counts[c], 0), np.where(f >= 0, counts[f], 0)
+                    prob[side] = (followed + STRENGTH * prob[side]) / (seen + STRENGTH)
+            total = np.concatenate(([0.0], np.cumsum(np.log(prob[0]) - np.log(prob[1]))))
             out[a:b] = (total[offsets[1:]] - total[offsets[:-1]]) / np.diff(offsets)
         return out
 
@@ -100,20 +108,25 @@ def fit(df: DataFrame, rejected: Column, url: str = "url", kept: float = KEPT) -
     spark = df.sparkSession
     held = F.pmod(F.xxhash64(url), F.lit(5)) == 0
     some = df.where(F.col(url).isNotNull() & rejected.isNotNull()).select(F.col(url).cast("string").alias("u"), (rejected.cast("int") * 2 + held.cast("int")).alias("g"))
-    rows = some.mapInArrow(_count, "g byte, t byte, slot int, n long").groupBy("g", "t", "slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((4, 2, (ORDER + 1) << SLOT_BITS), np.float32)
-    g, t, slot, n = (rows.column(i).to_numpy() for i in range(4))
-    counts[g, t, slot] = n
-    if not (counts[0] + counts[1]).any() or not (counts[2] + counts[3]).any():
-        return UrlModel(counts[0] + counts[1], counts[2] + counts[3], -np.inf)
-    trial = scored(UrlModel(counts[0], counts[2], 0.0), F.col("u"), spark)
+    group = lambda g: F.sum(F.when(F.col("g") == g, F.col("n")).otherwise(0)).alias(f"n{g}")
+    counts = written(some.mapInArrow(_count, "g byte, h long, n long").groupBy("h").agg(*map(group, range(4))), "url-contexts")
+    if counts.count() > MODEL_KEYS:
+        raise ValueError(f"more than {MODEL_KEYS} distinct contexts; raise MODEL_KEYS if executors can hold them")
+    rows = counts.toArrow()
+    h, *n = (rows.column(i).to_numpy() for i in range(5))
+    h = h.view(np.uint64)
+    order = np.argsort(h)
+    keys, n = h[order], [x[order].astype(np.float64) for x in n]
+    if not (n[0] + n[1]).any() or not (n[2] + n[3]).any():
+        return UrlModel(keys, n[0] + n[1], n[2] + n[3], -np.inf)
+    trial = scored(UrlModel(keys, n[0], n[2], 0.0), F.col("u"), spark)
     low = some.where("g = 1").select(trial.alias("s")).agg(F.percentile_approx("s.score", F.lit(1 - kept), F.lit(10_000))).first()[0]
-    return UrlModel(counts[0] + counts[1], counts[2] + counts[3], min(0.0, low) if low is not None else 0.0)
+    return UrlModel(keys, n[0] + n[1], n[2] + n[3], min(0.0, low) if low is not None else 0.0)
 
 
 def scored(model: UrlModel, url: Column, spark) -> Column:
     """A struct of ``score`` and ``keep``."""
-    shared = spark.sparkContext.broadcast(model)  # of a fixed size
+    shared = spark.sparkContext.broadcast(model)  # its size was checked when it was fitted
 
     @F.arrow_udf("score double, keep boolean")
     def score(urls: pa.Array) -> pa.Array:
