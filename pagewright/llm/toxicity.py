@@ -1,7 +1,8 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after another. Each has a linear model on the words of the text and on the
-probabilities of the categories before it; while training, those probabilities are out of fold, so a later model
+Categories are predicted one after another. Each has a linear model on the words of the text, on the stems of its
+longer words (so that an inflected or compounded slur is known by its beginning) and on the probabilities of the
+categories before it; while training, those probabilities are out of fold, so a later model
 sees them as good as they will be on new texts.
 
 The labels say only whether a document is toxic. The earlier categories are weakly labelled: toxic, and holding a
@@ -23,18 +24,35 @@ from . import arrowtext as T
 from .common import fresh
 from .linear import Ftrl, labelled, sigmoid
 
-BITS, TRAIN_ROWS, FOLDS, EPOCHS, L1 = 20, 6000, 3, 3, 4.0
+BITS, TRAIN_ROWS, FOLDS, EPOCHS, L1, LEAST_L1 = 20, 6000, 3, 3, 4.0, 2.5
+STEMS = (5, 6, 7)  # characters, of words that have more
 CATEGORIES: dict[str, Sequence[str]] = {
     "insult": ("idiot", "moron", "loser", "clown", "fool", "imbecile", "stupid", "dumb"),
     "contempt": ("worthless", "pathetic", "disgusting", "trash", "scum", "garbage", "filth", "vermin"),
 }
 
 
-def _features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+def _coordinates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all rows, with repeats, and the row of each."""
     w = T.words(texts)
-    at = (w.hash >> np.uint64(64 - BITS)).astype(np.int64)
-    rows = [np.unique(at[w.rows[i] : w.rows[i + 1]]) for i in range(len(texts))]
-    return [(x, np.ones(len(x))) for x in rows]
+    row = w.row_of()
+    char = np.append(0, np.cumsum((w.data & 0xC0) != 0x80))  # characters before each byte
+    begins = np.append(np.flatnonzero((w.data & 0xC0) != 0x80), len(w.data))
+    first, length = char[w.start], char[w.end] - char[w.start]
+    hashes, rows = [w.hash], [row]
+    for n in STEMS:
+        longer = np.flatnonzero(length > n)
+        stem = T.span_hash(w.prefix, w.start[longer], begins[first[longer] + n])
+        hashes.append(T.mix(stem + np.uint64(n)))
+        rows.append(row[longer])
+    return (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(rows)
+
+
+def _features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    at, row = _coordinates(texts)
+    row, at = np.divmod(np.unique(row * (1 << BITS) + at), 1 << BITS)
+    edge = np.searchsorted(row, np.arange(len(texts) + 1))
+    return [(at[x:y], np.ones(y - x)) for x, y in zip(edge[:-1], edge[1:])]
 
 
 @dataclass
@@ -69,11 +87,9 @@ class Chain:
         size = 1 << BITS
         out = np.zeros((len(texts), len(self.names)))
         for a, b in T.slices(texts):
-            w = T.words(texts.slice(a, b - a))
-            at = (w.hash >> np.uint64(64 - BITS)).astype(np.int64)
+            at, row = _coordinates(texts.slice(a, b - a))
             hit = np.flatnonzero(self.live[at])
-            row = np.searchsorted(w.rows, hit, side="right") - 1
-            row, at = np.divmod(np.unique(row * size + at[hit]), size)  # a word counts once
+            row, at = np.divmod(np.unique(row[hit] * size + at[hit]), size)  # a feature counts once
             for j, weight in enumerate(self.weights):
                 logit = np.bincount(row, weight[at], minlength=b - a) + weight[-1] + out[a:b, :j] @ weight[size:-1]
                 out[a:b, j] = sigmoid(logit)
@@ -86,14 +102,18 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Sequence[st
     The threshold is the one that does best out of fold by F0.5, in which a clean document rejected weighs more than
     a toxic one missed. Without toxic examples nothing is toxic.
     """
-    rows = labelled(docs, labels, "toxic", train_rows, _features, id_column, text)
+    return train(labelled(docs, labels, "toxic", train_rows, _features, id_column, text), categories, folds, epochs)
+
+
+def train(rows: list[tuple[int, int, np.ndarray, np.ndarray]], categories: Mapping[str, Sequence[str]] | None = None, folds: int = FOLDS, epochs: int = EPOCHS) -> Chain:
+    """The chain of (hash of id, label, features, values) rows."""
     size = 1 << BITS
     y = np.array([r[1] for r in rows], float)
     if not y.any():
         w = np.zeros(size + 1)
         w[-1] = -35.0
         return Chain(["toxic"], [w], 0.5)
-    l1 = max(0.25, L1 * len(rows) / TRAIN_ROWS)  # evidence for a word grows with the sample, and so must this
+    l1 = max(LEAST_L1, L1 * len(rows) / TRAIN_ROWS)  # evidence for a word grows with the sample, and so must this
     fold = np.array([r[0] for r in rows]) % folds
     x = [(at, v) for _, _, at, v in rows]
     names, weights, before = [], [], np.zeros((len(rows), 0))
