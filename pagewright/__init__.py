@@ -1 +1,3 @@
-"""pagewright: page-oriented document analytics on Spark."""
+"""Page-oriented document text at scale, on Spark."""
+
+__version__ = "0.1.0"

@@ -20,6 +20,9 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .requirements import engine_requirement, importing, require, vision_settings
+from .text import DEFAULT_PROMPT
+
 RESULT = "path string, n int, text string, markdown string, mean_conf double, words array<struct<text:string,conf:int,bbox:array<int>>>, error string"
 Run = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
@@ -35,6 +38,7 @@ _ENGINES: dict[str, Engine] = {}
 
 
 def register_engine(name: str, run: Run, structured: bool = False) -> None:
+    """Make an engine known by name. One that needs settings (vision, paddleocr-vl-mlx) is registered with them."""
     _ENGINES[name] = Engine(name, run, structured)
 
 
@@ -60,6 +64,168 @@ def _stub(shift: int) -> Run:
     return run
 
 
+def _row(path: str, n: int, **more) -> dict:
+    return {"path": path, "n": n, "text": "", "markdown": None, "mean_conf": None, "words": [], "error": None} | more
+
+
+def _adapter(page: Callable[[object, str, int, bytes], dict], load: Callable[[], object]) -> Run:
+    """An engine from a function of one page; its model is loaded once a worker, when the first page comes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model: list = []
+        for b in batches:
+            rows = []
+            for path, n, content in zip(b["path"], b["n"], b["content"]):
+                try:
+                    if not model:
+                        model.append(load())
+                    rows.append(_row(path, n, **page(model[0], path, int(n), content)))
+                except Exception as e:  # a row: a retried task would repeat paid calls, and messages may hold secrets
+                    rows.append(_row(path, n, error=f"{type(e).__name__} on page {n}"))
+            if rows:
+                yield pd.DataFrame(rows)
+
+    return run
+
+
+def _image_file(content: bytes):
+    f = tempfile.NamedTemporaryFile(suffix=".png")
+    f.write(content)
+    f.flush()
+    return f
+
+
+def line_result(texts: list[str], scores: list[float], polys: list) -> dict:
+    """A page from a line recogniser's arrays: blanks dropped, reading order; a missing score is 0."""
+    rows = []
+    for i, t in enumerate(texts):
+        if t.strip():
+            score = float(scores[i]) if i < len(scores) else 0.0
+            xs, ys = ([int(p[k]) for p in polys[i]] for k in (0, 1)) if i < len(polys) else ([0], [0])
+            rows.append((min(ys), min(xs), i, score, {"text": t, "conf": int(score * 100), "bbox": [min(xs), min(ys), max(xs) - min(xs), max(ys) - min(ys)]}))
+    rows.sort(key=lambda r: r[:3])
+    words = [r[4] for r in rows]
+    return {"text": "\n".join(w["text"] for w in words), "words": words, "mean_conf": 100 * sum(r[3] for r in rows) / len(rows) if rows else 0.0}
+
+
+def easyocr() -> Run:
+    """Russian and English lines on the CPU, whatever the language asked for."""
+
+    def load():
+        with importing("easyocr", "easyocr"):
+            import easyocr as package
+        return package.Reader(["ru", "en"], gpu=False)
+
+    def page(model, path, n, content):
+        got = model.readtext(content)
+        words = [{"text": t, "conf": int(c * 100), "bbox": line_result([t], [c], [p])["words"][0]["bbox"] if t.strip() else [0] * 4} for p, t, c in got]
+        return {"text": "\n".join(w["text"] for w in words), "words": words, "mean_conf": sum(w["conf"] for w in words) / len(words) if words else 0.0}
+
+    return _adapter(page, load)
+
+
+def paddleocr(lang: str = "en") -> Run:
+    def load():
+        with importing("paddleocr", "paddle"):
+            import paddleocr as package
+        return package.PaddleOCR(lang=lang, use_doc_orientation_classify=False, use_doc_unwarping=False)
+
+    def page(model, path, n, content):
+        with _image_file(content) as f:
+            texts, scores, polys = [], [], []
+            for r in model.predict(f.name):
+                texts += r.get("rec_texts") or []
+                scores += r.get("rec_scores") or []
+                polys += list(r["rec_polys"] if r.get("rec_polys") is not None else r.get("dt_polys") or [])
+        return line_result(texts, scores, polys)
+
+    return _adapter(page, load)
+
+
+def _markdown_of(results) -> str:
+    """Markdown of a document parser's results: parts by lines, blanks dropped, paragraphs between."""
+    out = []
+    for r in results:
+        m = getattr(r, "markdown", None) or (r.get("markdown") if isinstance(r, dict) else None) or {}
+        t = m.get("markdown_texts", "") if isinstance(m, dict) else ""
+        out.append(("\n".join(t) if isinstance(t, (list, tuple)) else str(t)).strip())
+    return "\n\n".join(t for t in out if t)
+
+
+def paddleocr_vl(server_url: str, model: str) -> Run:
+    """Markdown by a document parser whose language model is served on this machine; asked again once if empty."""
+    require(engine_requirement("paddleocr-vl-mlx", {"paddle_vl_server_url": server_url, "paddle_vl_model": model}))
+
+    def load():
+        with importing("paddleocr", "paddle-vl"):
+            import paddleocr as package
+        return package.PaddleOCRVL(vl_rec_backend="mlx-vlm-server", vl_rec_server_url=server_url.rstrip("/") + "/", vl_rec_max_concurrency=1, vl_rec_api_model_name=model, markdown_ignore_labels=[])
+
+    def page(parser, path, n, content):
+        with _image_file(content) as f:
+            got = next((m for m in (_markdown_of(parser.predict(f.name, temperature=0)) for _ in range(2)) if m), "")
+        return {"markdown": got, "text": got} if got else {"error": f"nothing was recognised on page {n}"}
+
+    return _adapter(page, load)
+
+
+IMAGE_BYTES, JPEG_QUALITY, SHRINK, MAX_TOKENS = 7_500_000, 92, 0.85, 4096
+
+
+def fitted(content: bytes, limit: int = IMAGE_BYTES) -> tuple[bytes, str]:
+    """An image within the limit and its media type: as it is, or as JPEG, made smaller step by step until it fits."""
+    if len(content) <= limit:
+        webp = content[:4] == b"RIFF" and content[8:12] == b"WEBP"
+        return content, "image/jpeg" if content[:3] == b"\xff\xd8\xff" else "image/webp" if webp else "image/png"
+    import io
+
+    with importing("vision", "vision"):
+        from PIL import Image
+    image = Image.open(io.BytesIO(content)).convert("RGB")
+    scale, size = 1.0, image.size
+    while True:
+        out = io.BytesIO()
+        (image if size == image.size else image.resize(size, Image.LANCZOS)).save(out, "JPEG", quality=JPEG_QUALITY, subsampling=0)
+        if out.tell() <= limit or min(size) <= 1:
+            return out.getvalue(), "image/jpeg"
+        scale *= SHRINK
+        size = tuple(max(1, int(x * scale)) for x in image.size)
+
+
+def vision(key: str, model: str, url: str = "", prompt: str = "", timeout: float | None = None) -> Run:
+    """Markdown by a chat service that reads images. The prompt is the caller's, unchanged, unless blank."""
+    import base64
+
+    key, model, endpoint = vision_settings(key, model, url)
+    text = prompt if prompt.strip() else DEFAULT_PROMPT
+
+    def load():
+        with importing("openai", "vision"):
+            import openai as package
+        return package.OpenAI(api_key=key, base_url=endpoint, **({} if timeout is None else {"timeout": timeout}))
+
+    def page(client, path, n, content):
+        body, kind = fitted(content)
+        image = {"url": f"data:{kind};base64,{base64.b64encode(body).decode()}", "detail": "high"}
+        asked = [{"type": "image_url", "image_url": image}, {"type": "text", "text": text}]
+        said = client.chat.completions.create(model=model, max_tokens=MAX_TOKENS, messages=[{"role": "user", "content": asked}])
+        got = said.choices[0].message.content or ""
+        return {"markdown": got, "text": got} if got.strip() else {"error": f"nothing was recognised on page {n}"}
+
+    return _adapter(page, load)
+
+
+def whole_documents(pages: DataFrame) -> DataFrame:
+    """A page 0 a file from a vision service's pages: its Markdown, a heading a page, in order."""
+    from pyspark.sql import functions as F
+
+    part = F.struct("n", F.concat(F.lit("## Page "), F.col("n"), F.lit("\n\n"), F.col("markdown")).alias("m"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["m"]), "\n\n")
+    return pages.groupBy("path").agg(joined.alias("markdown")).select("path", F.lit(0).alias("n"), F.col("markdown").alias("text"), "markdown")
+
+
+register_engine("easyocr", easyocr())
+register_engine("paddleocr", paddleocr())
 register_engine("stub", _stub(25))
 register_engine("stub-clean", _stub(40))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -91,9 +92,10 @@ def _recognized(pages: DataFrame, engine: str, options: Options) -> DataFrame:
     return got.select("path", "n", F.lit(engine).alias("source"), conf.alias("mean_conf"), quality.flag("issues").alias("flag"), (F.col("text") if structured else text).alias("text"), "markdown", "issues", "words")
 
 
-def recognize(pages: DataFrame, options: Options | None = None, signals: DataFrame | None = None, cached: caching.Cache | None = None) -> DataFrame:
+def recognize(pages: DataFrame, options: Options | None = None, signals: DataFrame | None = None, cached: caching.Cache | None = None, render: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Final pages of the files whose pages (path, n, text, and content where an engine needs it) are given.
 
+    ``render`` adds content to the pages that go to an engine, and only to those.
     An encrypted file, an engine error and an escalation that comes to nothing raise an error; then nothing is
     cached.
     """
@@ -123,6 +125,8 @@ def recognize(pages: DataFrame, options: Options | None = None, signals: DataFra
         kept = cached.load(_kept_schema())
         known = caching.hits(keys.select("key"), kept).select(COLUMNS)
         keys = caching.misses(keys, kept)
+    if render is not None:
+        keys = written(render(keys), "rendered")
     base = written(_recognized(keys.drop("key", "text_layer_rejected"), options.engine, options), "recognized")
     final = _escalated(keys, base, options) if options.auto_escalate else _shaped(base)
     marks = keys.select("path", "n", "text_layer_rejected", "key")
@@ -134,6 +138,17 @@ def recognize(pages: DataFrame, options: Options | None = None, signals: DataFra
     return out.unionByName(known) if known is not None else out
 
 
+def recognize_images(images: DataFrame, options: Options | None = None) -> DataFrame:
+    """Final pages of image files (path, content): each is one page that always needs OCR."""
+    options = options or Options()
+    pages = images.select("path", F.lit(1).alias("n"), F.lit("").alias("text"), "content")
+    if options.skip_ocr:
+        rows = pages.select("path", "n", F.lit("skipped").alias("source"), "text", F.lit(True).alias("skipped"), F.lit("needs OCR, which is switched off").alias("skip_reason"))
+        return _shaped(rows)
+    base = written(_recognized(pages, options.engine, options), "recognized")
+    return written(_escalated(pages, base, options), "final") if options.auto_escalate else _shaped(base)
+
+
 def _kept_schema():
     from pyspark.sql.types import StructType
 
