@@ -5,29 +5,31 @@ interpolates contexts of five characters down to none: each order's count is smo
 context never seen leaves the shorter one's estimate as it is. A URL's score is the difference of its two log
 likelihoods a character; the filter's threshold is calibrated on URLs held out of training.
 
-Counts are of every URL of the table, summed a partition and then by Spark, a row a context. The model is all
-contexts that occur: it grows with the corpus as its distinct six-character strings do, which is far slower than the
-number of URLs. A model of more than MODEL_KEYS contexts is refused with an error rather than broadcast: none is
-ever left out.
+Counts are of every URL of the table and are kept exactly, a row a context; the model grows with the corpus and is
+never in one place. URLs are written in blocks of some hundred thousand characters; each block names the contexts
+that occur in it, their counts are summed over all blocks in one shuffle, and each block gets back those it named.
+Nothing is broadcast or sent to the driver but two counts and a threshold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
 from . import arrowtext as T
 from .common import written
 
 ORDER, STRENGTH, KEPT = 5, 4.0, 0.99
-#: Contexts that a broadcast model may hold, at some 40 bytes each on every executor.
-MODEL_KEYS = 100_000_000
+BLOCK_BYTES = 1 << 18
+GROUPS = ("n0", "n1", "n2", "n3")
 #: Hosts that hold one of these are the rejected examples of the query.
 REJECT_TERMS = ("spam", "pills", "casino", "ads-track", "free-bets", "adult")
 
@@ -50,38 +52,40 @@ def _positions(urls: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k in range(ORDER + 1):
         begin = at - np.minimum(k, inside)
         for out, end, more in ((context, at, 0), (full, at + 1, 1)):
-            out[k] = T.mix(T.span_hash(p, begin, end) ^ (np.uint64(2 * k + more) * np.uint64(0x9E3779B97F4A7C15)))
+            out[k] = T.mix(T.span_hash(p, begin, end) ^ np.uint64((2 * k + more) * 0x9E3779B97F4A7C15 % (1 << 64)))
     return context, full, offsets
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(url, group) to counts by (group, context), a slice at a time; a group is 2 * rejected + held out."""
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of their block: the partition and a count. The result is written, so it stays."""
+    n = TaskContext.get().partitionId() << 32
     for batch in batches:
-        group = batch.column(1).to_numpy(zero_copy_only=False)
-        for a, b in T.slices(batch.column(0)):
-            context, full, offsets = _positions(batch.column(0).slice(a, b - a))
-            of = np.repeat(group[a:b], np.diff(offsets))
-            for g in np.unique(of).tolist():
-                h, n = np.unique(np.concatenate((context[:, of == g].ravel(), full[:, of == g].ravel())), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), g, np.int8)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["g", "h", "n"])
+        for a, b in T.slices(batch.column(1), BLOCK_BYTES):
+            yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(np.full(b - a, n))], names=[*batch.schema.names, "block"])
+            n += 1
 
 
-@dataclass
-class UrlModel:
-    keys: np.ndarray  # sorted hashes of contexts, with and without the character that follows
-    accepted: np.ndarray  # their counts
-    rejected: np.ndarray
-    threshold: float
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(url, group, block) to counts by block and context in each group: 2 * rejected + held out, or null for none."""
+    for batch in batches:
+        block = batch.column(2).to_numpy()
+        edge = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(block)]))
+        for a, b in zip(edge[:-1], edge[1:]):
+            if a < b:
+                group = pc.fill_null(batch.column(1).slice(a, b - a), 4).to_numpy(zero_copy_only=False).astype(np.int64)
+                context, full, offsets = _positions(batch.column(0).slice(a, b - a))
+                h, at = np.unique(np.concatenate((context.ravel(), full.ravel())), return_inverse=True)
+                of = np.tile(np.repeat(group, np.diff(offsets)), 2 * (ORDER + 1))
+                n = np.bincount(at * 5 + of, minlength=5 * len(h)).reshape(-1, 5)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), block[a])), pa.array(h.view(np.int64)), *(pa.array(n[:, g]) for g in range(4))], names=["block", "h", *GROUPS])
 
-    def __post_init__(self):
-        self.index = T.Index(self.keys)
 
-    def __getstate__(self):
-        return self.keys, self.accepted, self.rejected, self.threshold
+class UrlModel:
+    """Counts of contexts, with and without the character that follows, of accepted and of rejected URLs."""
 
-    def __setstate__(self, state):
-        self.keys, self.accepted, self.rejected, self.threshold = state
-        self.__post_init__()
+    def __init__(self, keys: np.ndarray, accepted: np.ndarray, rejected: np.ndarray):
+        order = np.argsort(keys)
+        self.index, self.accepted, self.rejected = T.Index(keys), accepted[order], rejected[order]
 
     def score(self, urls: pa.Array) -> np.ndarray:
         out = np.zeros(len(urls))
@@ -98,54 +102,45 @@ class UrlModel:
         return out
 
 
-def fit(df: DataFrame, rejected: Column, url: str = "url", kept: float = KEPT) -> UrlModel:
-    """A model of all URLs of df; ``rejected`` says which are examples of what to reject (null: of neither).
+def _scores(key: pa.DataType):
+    def run(urls: pa.Table, contexts: pa.Table) -> pa.Table:
+        h, *n = (contexts.column(c).to_numpy() for c in ("h", *GROUPS))
+        text = urls.column("url").combine_chunks()
+        score = UrlModel(h.view(np.uint64), n[0] + n[1], n[2] + n[3]).score(text)
+        trial = UrlModel(h.view(np.uint64), n[0], n[2]).score(text)
+        return pa.table({"page_id": urls.column("page_id").cast(key), "url": text, "g": urls.column("g"), "score": score, "trial": trial})
 
-    Every fifth URL, by its hash, is held out while the threshold is calibrated: the score that ``kept`` of the
-    accepted ones reach, but not above zero. The final counts are of all. Without examples of either side nothing
-    is rejected.
-    """
-    spark = df.sparkSession
-    held = F.pmod(F.xxhash64(url), F.lit(5)) == 0
-    some = df.where(F.col(url).isNotNull() & rejected.isNotNull()).select(F.col(url).cast("string").alias("u"), (rejected.cast("int") * 2 + held.cast("int")).alias("g"))
-    group = lambda g: F.sum(F.when(F.col("g") == g, F.col("n")).otherwise(0)).alias(f"n{g}")
-    counts = written(some.mapInArrow(_count, "g byte, h long, n long").groupBy("h").agg(*map(group, range(4))), "url-contexts")
-    if counts.count() > MODEL_KEYS:
-        raise ValueError(f"more than {MODEL_KEYS} distinct contexts; raise MODEL_KEYS if executors can hold them")
-    rows = counts.toArrow()
-    h, *n = (rows.column(i).to_numpy() for i in range(5))
-    h = h.view(np.uint64)
-    order = np.argsort(h)
-    keys, n = h[order], [x[order].astype(np.float64) for x in n]
-    if not (n[0] + n[1]).any() or not (n[2] + n[3]).any():
-        return UrlModel(keys, n[0] + n[1], n[2] + n[3], -np.inf)
-    trial = scored(UrlModel(keys, n[0], n[2], 0.0), F.col("u"), spark)
-    low = some.where("g = 1").select(trial.alias("s")).agg(F.percentile_approx("s.score", F.lit(1 - kept), F.lit(10_000))).first()[0]
-    return UrlModel(keys, n[0] + n[1], n[2] + n[3], min(0.0, low) if low is not None else 0.0)
-
-
-def scored(model: UrlModel, url: Column, spark) -> Column:
-    """A struct of ``score`` and ``keep``."""
-    shared = spark.sparkContext.broadcast(model)  # its size was checked when it was fitted
-
-    @F.arrow_udf("score double, keep boolean")
-    def score(urls: pa.Array) -> pa.Array:
-        s = shared.value.score(urls)
-        null = urls.is_null()
-        return pa.StructArray.from_arrays([pc.if_else(null, None, pa.array(s)), pc.if_else(null, False, pa.array(s >= shared.value.threshold))], names=["score", "keep"])
-
-    return score(url)
-
-
-def filter_urls(df: DataFrame, rejected: Column, url: str = "url", id_column: str = "page_id", **options) -> DataFrame:
+    return run
+
+
+def filter_urls(df: DataFrame, rejected: Column, url: str = "url", id_column: str = "page_id", kept: float = KEPT) -> DataFrame:
     """page_id, url, ``score`` (log likelihood of accepted over rejected, a character) and ``keep``, a row of df each.
 
+    ``rejected`` says which URLs are examples of what to reject and which of what to accept (null: of neither).
+    Every fifth, by its hash, is held out while the threshold is calibrated: the score that ``kept`` of the accepted
+    ones reach, but not above zero. The final counts are of all. Without examples of either side nothing is rejected.
+
     A null URL has no score and is not kept; an empty one is scored by its end alone. Repeated URLs count as often
-    as they occur and score alike; whole URLs count. An empty df gives an empty result.
+    as they occur and score alike; whole URLs count. Null ids pass. An empty df gives an empty result; other columns
+    are not read but by ``rejected``.
     """
-    model = fit(df, rejected, url, **options)
-    out = df.select(F.col(id_column).alias("page_id"), F.col(url).alias("url"))
-    return out.withColumn("_s", scored(model, F.col("url"), df.sparkSession)).select("page_id", "url", "_s.*")
+    held = F.pmod(F.xxhash64(url), F.lit(5)) == 0
+    group = F.when(F.col(url).isNotNull(), rejected.cast("int") * 2 + held.cast("int")).cast("byte")
+    rows = df.select(F.col(id_column).alias("page_id"), F.col(url).cast("string").alias("url"), group.alias("g"))
+    key = rows.schema["page_id"].dataType
+    kind = f"page_id {key.simpleString()}, url string, g byte"
+    placed = written(rows.where("url is not null").mapInArrow(_place, f"{kind}, block long"), "url-blocks")
+    named = placed.select("url", "g", "block").mapInArrow(_contexts, "block long, h long, " + ", ".join(f"{g} long" for g in GROUPS))
+    over = Window.partitionBy("h")
+    counts = named.select("block", "h", *(F.sum(g).over(over).alias(g) for g in GROUPS))
+    scored = placed.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_scores(to_arrow_type(key)), f"{kind}, score double, trial double")
+    scored = written(scored, "url-scores")
+    low = F.percentile_approx(F.when(F.col("g") == 1, F.col("trial")), F.lit(1 - kept), F.lit(10_000))
+    good, bad, low = scored.agg(F.count_if(F.col("g") < 2), F.count_if(F.col("g") >= 2), low).first()
+    threshold = min(0.0, low if low is not None else 0.0) if good and bad else -float("inf")
+    out = scored.select("page_id", "url", "score", (F.col("score") >= F.lit(threshold)).alias("keep"))
+    none = rows.where("url is null").select("page_id", "url", F.lit(None).cast("double").alias("score"), F.lit(False).alias("keep"))
+    return out.unionByName(none)
 
 
 def seed_rejects(url: str = "url") -> Column:
