@@ -74,8 +74,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, featuris
     # about `most` narrow rows: bounded, so broadcasting it is
     got = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(picked), F.col("_id") == F.col("_doc")).select("_h", "_y", "_text").mapInArrow(run, "h long, y int, at binary, x binary")
     seen, out = set(), []
-    for h, y, at, x in sorted((r.h, r.y, bytes(r.at), bytes(r.x)) for r in got.collect()):
+    rows = got.toArrow()
+    for h, y, at, x in sorted(zip(*(rows.column(i).to_pylist() for i in range(4)))):
         if (at, x) not in seen:
             seen.add((at, x))
-            out.append((h, y, np.frombuffer(at, np.uint32).astype(np.int64), np.frombuffer(x, np.float32).astype(np.float64)))
+            out.append((h, y, np.frombuffer(at, np.uint32), np.frombuffer(x, np.float32)))  # views of the bytes
     return out

@@ -25,6 +25,7 @@ from .common import fresh
 from .linear import Ftrl, labelled, sigmoid
 
 BITS, TRAIN_ROWS, FOLDS, EPOCHS, L1, LEAST_L1 = 20, 6000, 3, 3, 4.0, 2.5
+LEAST_DOCS = 2  # a feature of fewer training documents is left out: it tells nothing of other documents
 STEMS = (5, 6, 7)  # characters, of words that have more
 CATEGORIES: dict[str, Sequence[str]] = {
     "insult": ("idiot", "moron", "loser", "clown", "fool", "imbecile", "stupid", "dumb"),
@@ -115,7 +116,10 @@ def train(rows: list[tuple[int, int, np.ndarray, np.ndarray]], categories: Mappi
         return Chain(["toxic"], [w], 0.5)
     l1 = max(LEAST_L1, L1 * len(rows) / TRAIN_ROWS)  # evidence for a word grows with the sample, and so must this
     fold = np.array([r[0] for r in rows]) % folds
-    x = [(at, v) for _, _, at, v in rows]
+    seen = np.zeros(size, np.int32)
+    for _, _, at, _ in rows:
+        seen[at] += 1
+    x = [(at[seen[at] >= LEAST_DOCS].astype(np.int64), v[seen[at] >= LEAST_DOCS]) for _, _, at, v in rows]
     names, weights, before = [], [], np.zeros((len(rows), 0))
     targets = {}
     for name, seeds in (CATEGORIES if categories is None else categories).items():
