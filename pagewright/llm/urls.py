@@ -66,7 +66,10 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(url, group, block) to counts by block and context in each group: 2 * rejected + held out, or null for none."""
+    """(url, group, block) to counts by block and context in each group: 2 * rejected + held out, or null for none.
+
+    A block that spans batches or partitions gives a context once for each of its parts.
+    """
     for batch in batches:
         block = batch.column(2).to_numpy()
         edge = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(block)]))
@@ -85,6 +88,8 @@ class UrlModel:
 
     def __init__(self, keys: np.ndarray, accepted: np.ndarray, rejected: np.ndarray):
         order = np.argsort(keys)
+        if (keys[order][1:] == keys[order][:-1]).any():
+            raise ValueError("a context has more than one row of counts")
         self.index, self.accepted, self.rejected = T.Index(keys), accepted[order], rejected[order]
 
     def score(self, urls: pa.Array) -> np.ndarray:
@@ -105,6 +110,8 @@ class UrlModel:
 def _scores(key: pa.DataType):
     def run(urls: pa.Table, contexts: pa.Table) -> pa.Table:
         h, *n = (contexts.column(c).to_numpy() for c in ("h", *GROUPS))
+        h, first = np.unique(h, return_index=True)  # the parts of a block each name a context, with the same sums over all blocks
+        n = [x[first] for x in n]
         text = urls.column("url").combine_chunks()
         score = UrlModel(h.view(np.uint64), n[0] + n[1], n[2] + n[3]).score(text)
         trial = UrlModel(h.view(np.uint64), n[0], n[2]).score(text)

@@ -73,6 +73,24 @@ def test_blocks_make_no_difference(spark):
     assert one == pytest.approx({x.page_id: (a.log(x.url) - b.log(x.url)) / (len(x.url) + 1) for x in df.collect()})
 
 
+def test_blocks_that_span_batches(spark):
+    r = random.Random(11)
+    df = spark.createDataFrame([(i, made(r, i % 5 == 0)) for i in range(400)], "page_id long, url string").repartition(9).cache()
+    a, b = Brute([x.url for x in df.where(~U.seed_rejects()).collect()]), Brute([x.url for x in df.where(U.seed_rejects()).collect()])
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = {x.page_id: x.score for x in U.filter_urls(df, U.seed_rejects()).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert got == pytest.approx({x.page_id: (a.log(x.url) - b.log(x.url)) / (len(x.url) + 1) for x in df.collect()})
+
+
+def test_repeated_contexts_are_refused():
+    with pytest.raises(ValueError):
+        U.UrlModel(np.array([3, 5, 3], np.uint64), np.ones(3), np.ones(3))
+
+
 def test_pages(load):
     pages = load("pages")
     got = U.filter_urls(pages, U.seed_rejects())
