@@ -5,9 +5,9 @@ of like siblings are one node) and the text pieces of its slots. A host has few
 into the host's wrapper by simple tree matching: the ordered alignment of two trees that pairs the most nodes; what
 has no partner becomes an optional node. Each slot of a skeleton is thereby a slot of the wrapper.
 
-Over all pages of the host, a wrapper slot whose texts recur, each on two pages or more on average, is constant and
-belongs to the template. The others vary and are content. Counting is plain aggregation, so a host may have any
-number of pages; only skeletons of one host meet in one Python call.
+A piece belongs to the template if its own text stands in its wrapper slot on at least ``SHARE`` of the host's pages,
+counted exactly; all else is content, also in a slot that holds template pieces on other pages. Counting is plain
+aggregation, so a host may have any number of pages; only skeletons of one host meet in one Python call.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ from pyspark.sql.types import StringType
 from .common import small, written
 from .urls import host
 
-DEPTH = 100
+DEPTH, SHARE = 100, 0.5
+#: Rows of arrays that may be broadcast.
+MAPS = 50_000
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)([^>]*)>", re.S)
 _CLASS = re.compile(r"""(?:class|id)\s*=\s*["']?\s*([A-Za-z_][\w-]*)""", re.I)
 _VOID = frozenset("area base col embed hr img input link meta param source track wbr".split())
@@ -267,16 +269,16 @@ def induce(trees: list[str]) -> list[dict[int, int]]:
 
 def _induced(skeletons: pd.DataFrame) -> pd.DataFrame:
     order = skeletons.sort_values(["pages", "tree"], ascending=[False, True])
-    rows = [(h, s, slot, w) for (h, s), to in zip(order[["h", "skeleton"]].itertuples(index=False), induce(order["tree"].tolist())) for slot, w in to.items()]
-    return pd.DataFrame(rows, columns=["h", "skeleton", "slot", "w"])
+    to = [[w[k] for k in range(len(w))] for w in induce(order["tree"].tolist())]
+    return pd.DataFrame({"_h": order["h"].tolist(), "_s": order["skeleton"].tolist(), "to": to})
 
 
-def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, ``content``, ``content_chars``, ``template_chars``: the text of each page's varying slots.
+def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html", share: float = SHARE) -> DataFrame:
+    """page_id, url, ``content``, ``content_chars``, ``template_chars``: the text of each page but its template pieces.
 
     Pieces are joined by line feeds in page order. The pages of a URL's host, lower-cased, make one wrapper; those
-    without one, null URLs among them, are together a host of their own. A host's only page has no template: all
-    of it is content. Null HTML gives null content and no counts; empty HTML gives an empty content. Malformed HTML
+    without one, null URLs among them, are together a host of their own. A piece is template if at least ``share`` of
+    the host's pages that hold text, and two of them, have it in the same slot. A host's only page has no template: all of it is content. Null HTML gives null content and no counts; empty HTML gives an empty content. Malformed HTML
     is read as far as it goes, whole, and pages of any length are. Repeated pages are pages: what recurs by them
     counts as recurring. An empty df gives an empty result; other columns are not read.
     """
@@ -284,17 +286,17 @@ def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", html
     kinds = keyed.schema["key"].dataType.simpleString()
     parsed = keyed.mapInArrow(_parsed, f"h string, key {kinds}, tree string, slots array<int>, texts array<string>")
     parsed = written(parsed.withColumn("skeleton", F.xxhash64("tree")), "wrapper-pages")
-    seen = parsed.where("tree is not null")
-    skeletons = seen.groupBy("h", "skeleton").agg(F.min("tree").alias("tree"), F.count("*").alias("pages"))
-    slots = written(skeletons.groupBy("h").applyInPandas(_induced, "h string, skeleton long, slot int, w int"), "wrapper-slots")
-    pieces = F.zip_with("slots", "texts", lambda s, t: F.struct(s.alias("slot"), t.alias("text")))
-    of_page = F.transform(F.array_distinct("slots"), lambda s: F.struct(s.alias("slot"), F.xxhash64(F.array_join(F.transform(F.filter(pieces, lambda p: p["slot"] == s), lambda p: p["text"]), "\n")).alias("v")))
-    values = seen.select("h", "skeleton", F.explode(of_page).alias("p")).select("h", "skeleton", "p.slot", "p.v")
-    counts = values.join(small(slots), ["h", "skeleton", "slot"]).groupBy("h", "w").agg(F.count("*").alias("n"), F.approx_count_distinct("v", 0.02).alias("d"))
-    verdict = written(slots.join(counts, ["h", "w"]).groupBy("h", "skeleton").agg(F.collect_list(F.when((F.col("n") < 2) | (F.col("n") < 2 * F.col("d")), F.col("slot"))).alias("varying")), "wrapper-verdict")
-    verdict = verdict.select(F.col("h").alias("_h"), F.col("skeleton").alias("_s"), "varying")
-    out = parsed.join(small(verdict), (F.col("h") == F.col("_h")) & (F.col("skeleton") == F.col("_s")), "left")
+    seen = parsed.where(F.size("texts") > 0)
+    skeletons = written(seen.groupBy("h", "skeleton").agg(F.min("tree").alias("tree"), F.count("*").alias("pages")), "wrapper-skeletons")
+    slots = skeletons.groupBy("h").applyInPandas(_induced, "_h string, _s long, to array<int>")
+    slots = small(written(slots, "wrapper-slots"), MAPS)
+    placed = lambda df: df.join(slots, (F.col("h") == F.col("_h")) & (F.col("skeleton") == F.col("_s")), "left").drop("_h", "_s")
+    marked = F.zip_with("slots", "texts", lambda s, t: F.struct(F.xxhash64(F.get("to", s), t).alias("mark"), t.alias("text")))
+    pages = skeletons.groupBy("h").agg(F.sum("pages").alias("pages"))
+    marks = placed(seen).select("h", F.explode(F.array_distinct(F.transform(marked, lambda p: p["mark"]))).alias("mark")).groupBy("h", "mark").agg(F.count("*").alias("n")).where("n > 1")
+    template = marks.join(pages, "h").where(F.col("n") >= F.lit(share) * F.col("pages")).groupBy(F.col("h").alias("_h")).agg(F.collect_list("mark").alias("template"))
+    out = placed(parsed).join(small(written(template, "wrapper-template"), MAPS), F.col("h") == F.col("_h"), "left")
+    mine = F.filter(marked, lambda p: ~F.array_contains(F.coalesce("template", F.array().cast("array<bigint>")), p["mark"]))
+    out = out.withColumn("_mine", F.transform(mine, lambda p: p["text"]))
     chars = lambda xs: F.aggregate(xs, F.lit(0), lambda n, t: n + F.length(t))
-    mine = F.transform(F.filter(pieces, lambda p: F.array_contains(F.coalesce("varying", F.array().cast("array<int>")), p["slot"])), lambda p: p["text"])
-    out = out.withColumn("_mine", mine)
     return out.select("key.page_id", "key.url", F.array_join("_mine", "\n").alias("content"), chars(F.col("_mine")).alias("content_chars"), (chars(F.col("texts")) - chars(F.col("_mine"))).alias("template_chars"))

@@ -50,6 +50,18 @@ def test_template_and_content(spark):
     assert got[100].content == "Title 100\none 0"
 
 
+def test_verdict_is_by_text_at_every_host_size(spark):
+    line = lambda author, body: f"<body><div class=author>{author}</div><div class=text>{body}</div><footer>All rights reserved</footer></body>"
+    rows = []
+    for host, n in (("small", 8), ("large", 400)):
+        rows += [(host, i, f"http://{host}.example/{i}", line(f"author {i % 8}", f"body {i}")) for i in range(n)]
+    rows += [("copies", i, f"http://copies.example/{i}", line(f"author {i}", "the same" if i < 90 else f"body {i}")) for i in range(100)]
+    df = spark.createDataFrame(rows, "host string, page_id long, url string, html string")
+    got = {(r.url.split("/")[2].split(".")[0], r.page_id): r.content for r in W.extract(df).collect()}
+    assert all(got[h, i] == f"author {i % 8}\nbody {i}" for h, n in (("small", 8), ("large", 400)) for i in range(n))
+    assert all(got["copies", i] == f"author {i}\nbody {i}" for i in range(90, 100))
+
+
 def test_every_visible_text_is_content_or_template(load):
     rows = {r.page_id: r for r in W.extract(load("pages")).collect()}
     pages = load("pages").collect()
