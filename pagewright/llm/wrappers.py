@@ -1,8 +1,8 @@
 """HTML extraction by wrapper induction.
 
-Pages are parsed once, in Arrow batches, into a skeleton (the DOM tree of element names and classes, in which runs
-of like siblings are one node) and the text pieces of its slots. A host has few distinct skeletons. They are folded
-into the host's wrapper by simple tree matching: the ordered alignment of two trees that pairs the most nodes; what
+Pages are parsed once, in Arrow batches, into a skeleton (the DOM tree of element names and classes, each sibling a
+node of its own) and the text pieces of its slots, numbered in order. A host's distinct skeletons are folded into
+the host's wrapper by simple tree matching: the ordered alignment of two trees that pairs the most nodes; what
 has no partner becomes an optional node. Each slot of a skeleton is thereby a slot of the wrapper.
 
 A piece belongs to the template if its own text stands in its wrapper slot on at least ``SHARE`` of the host's pages,
@@ -27,8 +27,8 @@ from .common import small, written
 from .urls import host
 
 DEPTH, SHARE = 100, 0.5
-#: Rows of arrays that may be broadcast.
-MAPS = 50_000
+#: Rows of arrays that may be broadcast; cells of an alignment's table that may be held.
+MAPS, CELLS = 50_000, 1 << 22
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)([^>]*)>", re.S)
 _CLASS = re.compile(r"""(?:class|id)\s*=\s*["']?\s*([A-Za-z_][\w-]*)""", re.I)
 _VOID = frozenset("area base col embed hr img input link meta param source track wbr".split())
@@ -39,10 +39,10 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 
 
 class Node:
-    __slots__ = ("label", "children", "text", "slot")
+    __slots__ = ("label", "children", "text")
 
     def __init__(self, label: str, text: str | None = None):
-        self.label, self.children, self.text, self.slot = label, [], text, -1
+        self.label, self.children, self.text = label, [], text
 
 
 def parse(html: str) -> tuple[Node, list[Node]]:
@@ -120,42 +120,21 @@ def parse(html: str) -> tuple[Node, list[Node]]:
     return root, texts
 
 
-def _fold(members: list[Node], count: list[int], out: list[str]) -> None:
-    """Write the skeleton of a run of like nodes; number its slots."""
-    label = members[0].label
-    out.append(label)
-    if label == "#":
-        for m in members:
-            m.slot = count[0]
-        count[0] += 1
-        return
-    runs: list[list[Node]] = []
-    if len(members) == 1:
-        for c in members[0].children:
-            if runs and runs[-1][0].label == c.label:
-                runs[-1].append(c)
-            else:
-                runs.append([c])
-    else:
-        by: dict[str, list[Node]] = {}
-        for m in members:
-            for c in m.children:
-                by.setdefault(c.label, []).append(c)
-        runs = list(by.values())
-    if runs:
-        out.append("(")
-        for i, r in enumerate(runs):
-            if i:
-                out.append(",")
-            _fold(r, count, out)
-        out.append(")")
-
-
 def skeleton(html: str) -> tuple[str, list[int], list[str]]:
+    """The tree, the slots of its text nodes and their texts, in order."""
     root, texts = parse(html)
     out: list[str] = []
-    _fold([root], [0], out)
-    return "".join(out), [t.slot for t in texts], [t.text for t in texts]
+
+    def say(node: Node) -> None:
+        out.append(node.label)
+        for i, c in enumerate(node.children):
+            out.append("," if i else "(")
+            say(c)
+        if node.children:
+            out.append(")")
+
+    say(root)
+    return "".join(out), list(range(len(texts))), [t.text for t in texts]
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +147,8 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 rows.append(skeleton(value))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.string()))],
-            names=["h", "key", "tree", "slots", "texts"],
+            [batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.string()))],
+            names=["h", "key", "tree", "texts"],
         )
 
 
@@ -205,14 +184,55 @@ def read(text: str) -> Tree:
     return stack[0][0]
 
 
-def _table(a: Tree, b: Tree, memo: dict) -> np.ndarray:
-    """m[i, j]: the most pairs between the first i children of a and the first j of b."""
-    m = np.zeros((len(a.children) + 1, len(b.children) + 1), np.int64)
-    for i, x in enumerate(a.children, 1):
-        for j, y in enumerate(b.children, 1):
-            w = matched(x, y, memo) if x.label == y.label else 0
-            m[i, j] = max(m[i - 1, j], m[i, j - 1], m[i - 1, j - 1] + w)
-    return m
+def _weights(a: list[Tree], b: list[Tree], memo: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(w, x, y): child i of a and child j of b make w[x[i], y[j]] pairs; a row and a column for each distinct shape."""
+    kinds, at = [], []
+    for side in (a, b):
+        seen: dict[int, int] = {}
+        at.append(np.array([seen.setdefault(c.shape, len(seen)) for c in side], np.int64))
+        kinds.append(list({c.shape: c for c in side}.values()))
+    w = np.array([[matched(x, y, memo) for y in kinds[1]] for x in kinds[0]], np.int64)
+    return w, *at
+
+
+def _rows(w: np.ndarray, x: np.ndarray, y: np.ndarray, kept: bool) -> np.ndarray:
+    """The last row, or all, of m[i, j]: the most pairs between the first i children and the first j."""
+    m = np.zeros((len(x) + 1 if kept else 2, len(y) + 1), np.int64)
+    wide = w[:, y]
+    for i, k in enumerate(x.tolist(), 1):
+        above, row = (m[i - 1], m[i]) if kept else (m[(i - 1) & 1], m[i & 1])
+        row[1:] = np.maximum.accumulate(np.maximum(above[1:], above[:-1] + wide[k]))
+    return m if kept else m[len(x) & 1]
+
+
+def _ends(a: list[Tree], b: list[Tree]) -> tuple[int, int]:
+    """How many first and then last children are alike in shape: the best alignment pairs them."""
+    least, i, j = min(len(a), len(b)), 0, 0
+    while i < least and a[i].shape == b[i].shape:
+        i += 1
+    while j < least - i and a[-1 - j].shape == b[-1 - j].shape:
+        j += 1
+    return i, j
+
+
+def _aligned(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs of a best alignment, in order; large ones are halved, so that memory stays in proportion."""
+    if len(x) * len(y) > CELLS and len(x) > 1:
+        half = len(x) // 2
+        ahead, behind = _rows(w, x[:half], y, False), _rows(w, x[half:][::-1], y[::-1], False)[::-1]
+        cut = int((ahead + behind).argmax())
+        return _aligned(w, x[:half], y[:cut]) + [(i + half, j + cut) for i, j in _aligned(w, x[half:], y[cut:])]
+    m, i, j, out = _rows(w, x, y, True), len(x), len(y), []
+    while i and j:
+        one = w[x[i - 1], y[j - 1]]
+        if one and m[i, j] == m[i - 1, j - 1] + one:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif m[i, j] == m[i, j - 1]:
+            j -= 1
+        else:
+            i -= 1
+    return out[::-1]
 
 
 def matched(a: Tree, b: Tree, memo: dict) -> int:
@@ -221,9 +241,12 @@ def matched(a: Tree, b: Tree, memo: dict) -> int:
         return 0
     if a.shape == b.shape:
         return a.size
-    key = (id(a), id(b))
+    key = (a.shape, b.shape)
     if key not in memo:
-        memo[key] = 1 + int(_table(a, b, memo)[-1, -1])
+        i, j = _ends(a.children, b.children)
+        x, y = a.children[i : len(a.children) - j], b.children[i : len(b.children) - j]
+        same = sum(c.size for c in a.children[:i]) + sum(c.size for c in a.children[len(a.children) - j :])
+        memo[key] = 1 + same + (int(_rows(*_weights(x, y, memo), False)[-1]) if x and y else 0)
     return memo[key]
 
 
@@ -232,21 +255,21 @@ def merge(wrapper: Tree, page: Tree, memo: dict, free: list[int], to: dict[int,
     if wrapper.label == "#":
         to[page.slot] = wrapper.slot
         return wrapper
-    m = _table(wrapper, page, memo)
-    i, j = len(wrapper.children), len(page.children)
+    a, b = wrapper.children, page.children
+    i, j = _ends(a, b)
+    x, y = a[i : len(a) - j], b[i : len(b) - j]
+    pairs = [(k, k) for k in range(i)]
+    pairs += [(i + p, i + q) for p, q in _aligned(*_weights(x, y, memo))] if x and y else []
+    pairs += [(len(a) - k, len(b) - k) for k in range(j, 0, -1)]
     out: list[Tree] = []
-    while i or j:
-        x, y = (wrapper.children[i - 1] if i else None), (page.children[j - 1] if j else None)
-        if i and j and x.label == y.label and m[i, j] == m[i - 1, j - 1] + matched(x, y, memo):
-            out.append(merge(x, y, memo, free, to))
-            i, j = i - 1, j - 1
-        elif j and (not i or m[i, j] == m[i, j - 1]):
-            out.append(_added(y, free, to))
-            j -= 1
-        else:
-            out.append(x)
-            i -= 1
-    return Tree(wrapper.label, out[::-1], wrapper.slot)
+    i = j = 0
+    for p, q in [*pairs, (len(a), len(b))]:
+        out += a[i:p]
+        out += [_added(c, free, to) for c in b[j:q]]
+        if p < len(a):
+            out.append(merge(a[p], b[q], memo, free, to))
+        i, j = p + 1, q + 1
+    return Tree(wrapper.label, out, wrapper.slot)
 
 
 def _added(page: Tree, free: list[int], to: dict[int, int]) -> Tree:
@@ -259,10 +282,10 @@ def _added(page: Tree, free: list[int], to: dict[int, int]) -> Tree:
 
 def induce(trees: list[str]) -> list[dict[int, int]]:
     """For each skeleton of a host, its slots' slots in the wrapper that the skeletons make, in the order given."""
-    wrapper, free, out = None, [0], []
+    wrapper, free, memo, out = None, [0], {}, []
     for text in trees:
         page, to = read(text), {}
-        wrapper = _added(page, free, to) if wrapper is None else merge(wrapper, page, {}, free, to)
+        wrapper = _added(page, free, to) if wrapper is None else merge(wrapper, page, memo, free, to)
         out.append(to)
     return out
 
@@ -284,14 +307,14 @@ def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", html
     """
     keyed = pages.select(F.coalesce(host(url), F.lit("")).alias("h"), F.struct(F.col(id_column).alias("page_id"), F.col(url).alias("url")).alias("key"), F.col(html).cast(StringType()).alias("html"))
     kinds = keyed.schema["key"].dataType.simpleString()
-    parsed = keyed.mapInArrow(_parsed, f"h string, key {kinds}, tree string, slots array<int>, texts array<string>")
+    parsed = keyed.mapInArrow(_parsed, f"h string, key {kinds}, tree string, texts array<string>")
     parsed = written(parsed.withColumn("skeleton", F.xxhash64("tree")), "wrapper-pages")
     seen = parsed.where(F.size("texts") > 0)
     skeletons = written(seen.groupBy("h", "skeleton").agg(F.min("tree").alias("tree"), F.count("*").alias("pages")), "wrapper-skeletons")
     slots = skeletons.groupBy("h").applyInPandas(_induced, "_h string, _s long, to array<int>")
     slots = small(written(slots, "wrapper-slots"), MAPS)
     placed = lambda df: df.join(slots, (F.col("h") == F.col("_h")) & (F.col("skeleton") == F.col("_s")), "left").drop("_h", "_s")
-    marked = F.zip_with("slots", "texts", lambda s, t: F.struct(F.xxhash64(F.get("to", s), t).alias("mark"), t.alias("text")))
+    marked = F.zip_with(F.coalesce("to", F.array().cast("array<int>")), "texts", lambda w, t: F.struct(F.xxhash64(w, t).alias("mark"), t.alias("text")))
     pages = skeletons.groupBy("h").agg(F.sum("pages").alias("pages"))
     marks = placed(seen).select("h", F.explode(F.array_distinct(F.transform(marked, lambda p: p["mark"]))).alias("mark")).groupBy("h", "mark").agg(F.count("*").alias("n")).where("n > 1")
     template = marks.join(pages, "h").where(F.col("n") >= F.lit(share) * F.col("pages")).groupBy(F.col("h").alias("_h")).agg(F.collect_list("mark").alias("template"))

@@ -28,6 +28,24 @@ def test_matching_equals_its_definition():
         assert W.matched(a, b, {}) == most_pairs(a, b)
 
 
+def test_merging_pairs_as_many_nodes_as_match(monkeypatch):
+    r = random.Random(8)
+    for cells in (W.CELLS, 2):  # whole tables, and halved alignments
+        monkeypatch.setattr(W, "CELLS", cells)
+        for _ in range(150):
+            a, b = tree(r), tree(r)
+            if a.label == b.label:
+                assert a.size + b.size - W.merge(a, b, {}, [0], {}).size == most_pairs(a, b)
+
+
+def test_like_siblings_are_aligned_one_by_one(spark):
+    rows = [(i, f"http://a.example/{i}", f"<div>Our notice</div><div>text {i}</div><div>Our terms</div><table><tr><td>{'Our notice' if i == 1 else i}<td>Print</table>") for i in range(20)]
+    rows += [(100 + i, f"http://b.example/{i}", f"<ul><li>{'Menu' if i % 5 else 'Terms'}<li>Help<li>{'Terms' if i % 5 else 'Menu'}</ul><p>words {i}") for i in range(20)]
+    got = {r.page_id: r.content for r in W.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"text {i}\n{'Our notice' if i == 1 else i}" for i in range(20))
+    assert all(got[100 + i] == (f"words {i}" if i % 5 else f"Terms\nMenu\nwords {i}") for i in range(20))  # what stands elsewhere is no template
+
+
 def test_alignment_keeps_all_slots_apart():
     pages = ["<div><p>x</p><h1>t</h1></div>", "<div><h1>t</h1><p>x</p><table><tr><td>1</td></tr></table></div>", "<div><h1>t</h1></div><p>end</p>"]
     skeletons = [W.skeleton(p)[0] for p in pages]
