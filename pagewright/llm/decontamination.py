@@ -17,15 +17,16 @@ same code, in as many scans as it needs.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as T
-from .common import fresh, small, written
 
 SHINGLE, CONTAINMENT, HASHES = 5, 0.6, 24
 PASS_BYTES = 16 << 20
@@ -136,6 +137,16 @@ def _search(items: Items, threshold: float, hashes: int, out: pa.Schema):
     return run
 
 
+def _passes(benchmark: DataFrame, item_column: str, item_text: str, shingle: int, hashes: int, pass_bytes: int) -> Iterator[Broadcast]:
+    """The benchmark's items, broadcast a pass at a time."""
+    size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
+    passes = -(-2 * size // pass_bytes) or 1  # eight bytes a shingle, six or so characters a word
+    for k in range(passes):
+        part = benchmark.where(F.pmod(F.xxhash64(item_text), F.lit(passes)) == k) if passes > 1 else benchmark
+        rows = part.select(item_column, item_text).where(F.col(item_text).isNotNull()).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], shingle, hashes))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", item_column: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, containment: float = CONTAINMENT, hashes: int = HASHES, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """Pairs (doc_id, item_id, containment, shingles): the item's distinct word shingles that the document holds.
 
@@ -144,19 +155,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     Null ids are given as nulls. Repeated rows and tied pairs are each given. The whole text is searched, however
     long. Other columns are not read. An empty side gives an empty result.
     """
-    spark = docs.sparkSession
     kinds = {f.name: f.dataType for f in [*docs.select(F.col(id_column).alias("doc_id")).schema, *benchmark.select(F.col(item_column).alias("item_id")).schema]}
     schema = f"doc_id {kinds['doc_id'].simpleString()}, item_id {kinds['item_id'].simpleString()}, containment double, shingles int"
     from pyspark.sql.pandas.types import to_arrow_type
 
     out = pa.schema([("doc_id", to_arrow_type(kinds["doc_id"])), ("item_id", to_arrow_type(kinds["item_id"])), ("containment", pa.float64()), ("shingles", pa.int32())])
-    size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    passes = -(-2 * size // pass_bytes) or 1  # eight bytes a shingle, six or so characters a word
     found = None
-    for k in range(passes):
-        part = benchmark.where(F.pmod(F.xxhash64(item_text), F.lit(passes)) == k) if passes > 1 else benchmark
-        rows = part.select(item_column, item_text).where(F.col(item_text).isNotNull()).collect()
-        items = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], shingle, hashes))
+    for items in _passes(benchmark, item_column, item_text, shingle, hashes, pass_bytes):
 
         def run(batches, items=items):
             return _search(items.value, containment, hashes, out)(batches)
@@ -166,14 +171,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     return found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """docs without the documents that hold a test item. Rows with a null id that hold one go as well.
+def _holds(items: Broadcast, containment: float, hashes: int) -> Callable[[Column], Column]:
+    """Whether a text holds one of the items."""
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.null()), ("containment", pa.float64()), ("shingles", pa.int32())])
+
+    @F.arrow_udf("boolean")
+    def holds(texts: pa.Array) -> pa.Array:
+        unnamed = copy(items.value)
+        unnamed.ids = [None] * len(unnamed.ids)
+        rows = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), texts], names=["doc_id", "text"])
+        hit = np.zeros(len(texts), bool)
+        for pairs in _search(unnamed, containment, hashes, schema)(iter([rows])):
+            hit[pairs.column(0).to_numpy()] = True
+        return pa.array(hit)
+
+    return holds
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", item_column: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, containment: float = CONTAINMENT, hashes: int = HASHES, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """docs without the rows whose text holds a test item, as ``contaminated`` finds them.
 
-    All columns pass through; rows keep their multiplicity.
+    Each row is judged by its own text: ids are not read, so a row stays whatever others of its id, or without one,
+    hold. All columns pass through; rows keep their multiplicity.
     """
-    (name,) = fresh(docs, "_bad")
-    bad = written(contaminated(docs, benchmark, id_column, **options).select(F.col("doc_id").alias(name)).distinct(), "leaks")
-    return docs.join(small(bad), F.col(id_column).eqNullSafe(F.col(name)), "left_anti")
+    kept = docs
+    for items in _passes(benchmark, item_column, item_text, shingle, hashes, pass_bytes):
+        kept = kept.where(~_holds(items, containment, hashes)(F.col(text)))
+    return kept
 
 
 def contaminated_sql() -> str:

@@ -81,3 +81,10 @@ def test_odd_rows(odd, none, items):
     assert sorted(x.doc_id for x in kept.collect()) == [2, 3, 4, 5, 6]
     assert D.decontaminate(odd, items.limit(0)).count() == odd.count()
     assert D.decontaminate(none, items).collect() == []
+
+
+def test_rows_are_judged_one_by_one(spark, items):
+    rows = [(None, "words here and there all"), (None, "nothing of the kind"), (1, "words here and there all"), (1, "clean of all that"), (1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"pass_bytes": 20}):
+        assert sorted(D.decontaminate(df, items, **options).collect(), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
