@@ -8,9 +8,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
-#: A side of at most this many narrow rows may be broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: A side of at most so many bytes may be broadcast; a larger one is joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,12 +37,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df, hinted for broadcast if its counted rows are within the limit; beyond it Spark joins by shuffle.
+def _weight(name: str, kind) -> Column:
+    """Bytes, about, that a value takes in a broadcast."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 8
+    if isinstance(kind, ArrayType):
+        return F.greatest(F.size(name), F.lit(0)) * 8 + 8
+    return F.lit(8)
 
-    df should be cheap to count: a written table.
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, hinted for broadcast if its bytes, added up, are within the limit; beyond it Spark joins by shuffle.
+
+    df should be cheap to read, a written table, and of numbers, strings, bytes and arrays of numbers.
     """
-    return F.broadcast(df) if df.count() <= limit else df.hint("merge")
+    size = sum((_weight(f"`{f.name}`", f.dataType) for f in df.schema), F.lit(16)).cast("long")
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit else df.hint("merge")
 
 
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:

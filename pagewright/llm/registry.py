@@ -35,7 +35,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_pairs(table(spark, sf_dir, "documents"))
+    return ngram_join.near_documents(table(spark, sf_dir, "documents"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.shard_sql(), "op7_ngram_join": ngram_join.near_pairs_sql(), "op8_mixing": mixing.mix_sql(), "op9_decontamination": decontamination.contaminated_sql()}
+    return {"op1_sharding": sharding.shard_sql(), "op7_ngram_join": ngram_join.near_documents_sql(), "op8_mixing": mixing.mix_sql(), "op9_decontamination": decontamination.contaminated_sql()}

@@ -27,8 +27,8 @@ from .common import small, written
 from .urls import host
 
 DEPTH, SHARE = 100, 0.5
-#: Rows of arrays that may be broadcast; cells of an alignment's table that may be held.
-MAPS, CELLS = 50_000, 1 << 22
+#: Cells of an alignment's table that may be held.
+CELLS = 1 << 22
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)([^>]*)>", re.S)
 _CLASS = re.compile(r"""(?:class|id)\s*=\s*["']?\s*([A-Za-z_][\w-]*)""", re.I)
 _VOID = frozenset("area base col embed hr img input link meta param source track wbr".split())
@@ -312,13 +312,13 @@ def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", html
     seen = parsed.where(F.size("texts") > 0)
     skeletons = written(seen.groupBy("h", "skeleton").agg(F.min("tree").alias("tree"), F.count("*").alias("pages")), "wrapper-skeletons")
     slots = skeletons.groupBy("h").applyInPandas(_induced, "_h string, _s long, to array<int>")
-    slots = small(written(slots, "wrapper-slots"), MAPS)
+    slots = small(written(slots, "wrapper-slots"))
     placed = lambda df: df.join(slots, (F.col("h") == F.col("_h")) & (F.col("skeleton") == F.col("_s")), "left").drop("_h", "_s")
     marked = F.zip_with(F.coalesce("to", F.array().cast("array<int>")), "texts", lambda w, t: F.struct(F.xxhash64(w, t).alias("mark"), t.alias("text")))
     pages = skeletons.groupBy("h").agg(F.sum("pages").alias("pages"))
     marks = placed(seen).select("h", F.explode(F.array_distinct(F.transform(marked, lambda p: p["mark"]))).alias("mark")).groupBy("h", "mark").agg(F.count("*").alias("n")).where("n > 1")
     template = marks.join(pages, "h").where(F.col("n") >= F.lit(share) * F.col("pages")).groupBy(F.col("h").alias("_h")).agg(F.collect_list("mark").alias("template"))
-    out = placed(parsed).join(small(written(template, "wrapper-template"), MAPS), F.col("h") == F.col("_h"), "left")
+    out = placed(parsed).join(small(written(template, "wrapper-template")), F.col("h") == F.col("_h"), "left")
     mine = F.filter(marked, lambda p: ~F.array_contains(F.coalesce("template", F.array().cast("array<bigint>")), p["mark"]))
     out = out.withColumn("_mine", F.transform(mine, lambda p: p["text"]))
     chars = lambda xs: F.aggregate(xs, F.lit(0), lambda n, t: n + F.length(t))
