@@ -38,18 +38,26 @@ class Ftrl:
         self.z[at] += g - (np.sqrt(more) - np.sqrt(n)) / self.alpha * w
         self.n[at] = more
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int, seed: int = 0) -> Ftrl:
-        bias = len(self.z) - 1
-        full = [(np.append(at, bias), np.append(x, 1.0)) for at, x in rows]
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int, seed: int = 0, more: np.ndarray | None = None) -> Ftrl:
+        """``more`` has a row's values of the last coordinates before the bias, where all rows have them."""
+        k = 0 if more is None else more.shape[1]
+        tail = np.arange(len(self.z) - 1 - k, len(self.z))
+        ends = np.ones((len(rows), k + 1))
+        if k:
+            ends[:, :k] = more
         rng = np.random.default_rng(seed)
         for _ in range(epochs):
-            for i in rng.permutation(len(full)):
-                self.update(*full[i], y[i])
+            for i in rng.permutation(len(rows)):
+                at, x = rows[i]  # put together anew each time: a sample may be large
+                self.update(np.concatenate((at, tail)), np.concatenate((x, ends[i])), y[i])
         return self
 
-    def predict(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    def predict(self, rows: list[tuple[np.ndarray, np.ndarray]], more: np.ndarray | None = None) -> np.ndarray:
         w = self.weights()
-        return sigmoid(np.array([w[at] @ x for at, x in rows]) + w[-1]) if rows else np.zeros(0)
+        if not rows:
+            return np.zeros(0)
+        logit = np.array([w[at] @ x for at, x in rows]) + w[-1]
+        return sigmoid(logit if more is None else logit + more @ w[len(w) - 1 - more.shape[1] : -1])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, featurise, id_column: str = "doc_id", text: str = "text") -> list[tuple[int, int, np.ndarray, np.ndarray]]:

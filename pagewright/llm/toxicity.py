@@ -6,13 +6,14 @@ categories before it; while training, those probabilities are out of fold, so a
 sees them as good as they will be on new texts.
 
 The labels say only whether a document is toxic. The earlier categories are weakly labelled: toxic, and holding a
-seed word of the category. The last one, ``toxic``, is the label itself, on all words: it is not confined to the
+seed word of the category as a word of its own. The last one, ``toxic``, is the label itself, on all words: it is not confined to the
 seeds. A category of which the sample has no example is left out of the chain.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import pickle
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,6 @@ from .common import fresh
 from .linear import Ftrl, labelled, sigmoid
 
 BITS, TRAIN_ROWS, FOLDS, EPOCHS, L1, LEAST_L1 = 20, 6000, 3, 3, 4.0, 2.5
-LEAST_DOCS = 2  # a feature of fewer training documents is left out: it tells nothing of other documents
 STEMS = (5, 6, 7)  # characters, of words that have more
 CATEGORIES: dict[str, Sequence[str]] = {
     "insult": ("idiot", "moron", "loser", "clown", "fool", "imbecile", "stupid", "dumb"),
@@ -49,11 +49,16 @@ def _coordinates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(rows)
 
 
-def _features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+def _features(texts: pa.Array, seeds: Sequence[np.ndarray] = ()) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A row's distinct features, and for each set of word hashes whether it holds one of them."""
     at, row = _coordinates(texts)
     row, at = np.divmod(np.unique(row * (1 << BITS) + at), 1 << BITS)
     edge = np.searchsorted(row, np.arange(len(texts) + 1))
-    return [(at[x:y], np.ones(y - x)) for x, y in zip(edge[:-1], edge[1:])]
+    w = T.words(texts)
+    held = np.zeros((len(texts), len(seeds)))
+    for j, hashes in enumerate(seeds):
+        held[w.row_of()[np.isin(w.hash, hashes)], j] = 1
+    return [(at[x:y], held[i]) for i, (x, y) in enumerate(zip(edge[:-1], edge[1:]))]
 
 
 @dataclass
@@ -101,43 +106,92 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Sequence[st
     """A chain fitted on about ``train_rows`` labelled documents (labels: doc_id, toxic), picked by a hash of the id.
 
     The threshold is the one that does best out of fold by F0.5, in which a clean document rejected weighs more than
-    a toxic one missed. Without toxic examples nothing is toxic.
+    a toxic one missed. Without toxic examples nothing is toxic. The models of a category are fitted side by side,
+    a task each.
     """
-    return train(labelled(docs, labels, "toxic", train_rows, _features, id_column, text), categories, folds, epochs)
+    rows, names = sample(docs, labels, categories, train_rows, id_column, text)
+    spark = docs.sparkSession
+    context, shared = spark.sparkContext, []
+
+    def side_by_side(task, count: int) -> list:
+        if not shared:
+            shared.append(context.broadcast(Sample.of(rows)))  # bounded: train_rows texts
+        held = shared[0]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in batch.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([pickle.dumps(task(held.value, i))], pa.binary())], names=["i", "made"])
+
+        made = spark.range(0, count, 1, count).mapInArrow(run, "i long, made binary").collect()
+        return [pickle.loads(r.made) for r in sorted(made)]
+
+    return train(rows, names, folds, epochs, side_by_side)
+
+
+def sample(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Sequence[str]] | None = None, train_rows: int = TRAIN_ROWS, id_column: str = "doc_id", text: str = "text") -> tuple[list, list[str]]:
+    """The rows to train on, and the names of the categories whose seeds their last field tells of."""
+    seeds = CATEGORIES if categories is None else categories
+    hashes = [T.words(pa.array(list(v), pa.string())).hash for v in seeds.values()]
+    return labelled(docs, labels, "toxic", train_rows, lambda texts: _features(texts, hashes), id_column, text), list(seeds)
+
+
+@dataclass
+class Sample:
+    """Rows' features end to end, and the hash of each row's id."""
 
+    at: np.ndarray
+    edge: np.ndarray
+    hashes: np.ndarray
 
-def train(rows: list[tuple[int, int, np.ndarray, np.ndarray]], categories: Mapping[str, Sequence[str]] | None = None, folds: int = FOLDS, epochs: int = EPOCHS) -> Chain:
-    """The chain of (hash of id, label, features, values) rows."""
+    @staticmethod
+    def of(rows: list) -> Sample:
+        size = [len(r[2]) for r in rows]
+        return Sample(np.concatenate([r[2] for r in rows]).astype(np.int32), np.concatenate(([0], np.cumsum(size))), np.array([r[0] for r in rows]))
+
+    def rows(self, which: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        ones = np.ones(int(np.diff(self.edge).max(initial=0)))
+        return [(self.at[a:b], ones[: b - a]) for a, b in zip(self.edge[which], self.edge[which + 1])]
+
+
+def one_by_one(rows: list):
+    own = Sample.of(rows)
+    return lambda task, count: [task(own, i) for i in range(count)]
+
+
+def train(rows: list[tuple[int, int, np.ndarray, np.ndarray]], names: Sequence[str], folds: int = FOLDS, epochs: int = EPOCHS, each=None) -> Chain:
+    """The chain of (hash of id, label, features, seeds held) rows. ``each(task, count)`` runs task(sample, i) for every i."""
     size = 1 << BITS
     y = np.array([r[1] for r in rows], float)
     if not y.any():
         w = np.zeros(size + 1)
         w[-1] = -35.0
         return Chain(["toxic"], [w], 0.5)
+    each = each or one_by_one(rows)
     l1 = max(LEAST_L1, L1 * len(rows) / TRAIN_ROWS)  # evidence for a word grows with the sample, and so must this
     fold = np.array([r[0] for r in rows]) % folds
-    seen = np.zeros(size, np.int32)
-    for _, _, at, _ in rows:
-        seen[at] += 1
-    x = [(at[seen[at] >= LEAST_DOCS].astype(np.int64), v[seen[at] >= LEAST_DOCS]) for _, _, at, v in rows]
-    names, weights, before = [], [], np.zeros((len(rows), 0))
-    targets = {}
-    for name, seeds in (CATEGORIES if categories is None else categories).items():
-        f = {a for at, _ in _features(pa.array([s for s in seeds], pa.string())) for a in at.tolist()}
-        targets[name] = y * np.array([not f.isdisjoint(at.tolist()) for at, _ in x])
-    targets["toxic"] = y
+    targets = {name: y * np.array([r[3][j] for r in rows]) for j, name in enumerate(names)} | {"toxic": y}
+    done, weights, before = [], [], np.zeros((len(rows), 0))
     for name, t in targets.items():
         if not t.any():
             continue
-        k = before.shape[1]
-        more = [(np.append(at, size + np.arange(k)), np.append(v, p)) for (at, v), p in zip(x, before)]
-        outside = np.zeros(len(rows))
-        for i in range(folds):
+
+        def task(sample: Sample, i: int, t=t, before=before):
+            """Predictions for fold i by the others; after the folds, the weights of all."""
             inside, rest = np.flatnonzero(fold != i), np.flatnonzero(fold == i)
-            model = Ftrl(size + k, l1=l1).fit([more[n] for n in inside], t[inside], epochs)
-            outside[rest] = model.predict([more[n] for n in rest])
-        names.append(name)
-        weights.append(Ftrl(size + k, l1=l1).fit(more, t, epochs).weights())
+            model = Ftrl(size + before.shape[1], l1=l1).fit(sample.rows(inside), t[inside], epochs, more=before[inside])
+            if i < folds:
+                return model.predict(sample.rows(rest), more=before[rest])
+            w = model.weights()
+            return np.flatnonzero(w), w[w != 0]
+
+        *parts, (at, w) = each(task, folds + 1)
+        outside = np.zeros(len(rows))
+        for i, p in enumerate(parts):
+            outside[fold == i] = p
+        done.append(name)
+        weights.append(np.zeros(size + before.shape[1] + 1))
+        weights[-1][at] = w
         before = np.column_stack((before, outside))
     p = before[:, -1]
     best, threshold = -1.0, 0.5
@@ -147,7 +201,7 @@ def train(rows: list[tuple[int, int, np.ndarray, np.ndarray]], categories: Mappi
         score = 1.25 * precision * recall / max(1e-9, 0.25 * precision + recall)
         if score > best + 1e-3 or (score > best - 1e-3 and abs(c - 0.5) < abs(threshold - 0.5)):
             best, threshold = max(best, score), float(c)
-    return Chain(names, weights, threshold)
+    return Chain(done, weights, threshold)
 
 
 def scored(model: Chain, text: str | Column, spark) -> Column:
