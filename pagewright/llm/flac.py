@@ -8,8 +8,10 @@ are verified, and the stream's MD5 where it gives one.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
@@ -34,10 +36,29 @@ def crc8(data: bytes) -> int:
     return r
 
 
+_STEP = 4096
+
+
+@lru_cache(None)
+def _far() -> np.ndarray:
+    """What a byte adds to a sum, by how many bytes follow it."""
+    out = np.empty((_STEP, 256), np.uint16)
+    step = out[0] = np.array(_CRC16, np.uint16)
+    for k in range(1, _STEP):
+        out[k] = (out[k - 1] << np.uint16(8)) ^ step[out[k - 1] >> np.uint16(8)]
+    return out
+
+
 def crc16(data: bytes) -> int:
+    """Sums are linear: the first two bytes take the sum so far, and all bytes' parts are added at once."""
     r = 0
-    for b in data:
-        r = (r << 8 & 0xFFFF) ^ _CRC16[r >> 8 ^ b]
+    for at in range(0, len(data), _STEP):
+        part = np.frombuffer(data, np.uint8, min(_STEP, len(data) - at), at).copy()
+        if len(part) == 1:
+            return (r << 8 & 0xFFFF) ^ _CRC16[r >> 8 ^ int(part[0])]
+        part[0] ^= r >> 8
+        part[1] ^= r & 255
+        r = int(np.bitwise_xor.reduce(_far()[np.arange(len(part) - 1, -1, -1), part]))
     return r
 
 
@@ -46,8 +67,25 @@ class Broken(ValueError):
 
 
 class Bits:
+    """Reads a stream bit by bit. What is unpacked of it, with the place of the next one at or after each bit, is kept
+    from one Rice partition and one frame to the next."""
+
+    CHUNK = 1 << 15
+
     def __init__(self, data: bytes, at: int = 0):
         self.data, self.pos, self.end = data, at * 8, len(data) * 8
+        self.first = self.last = 0  # bits that are unpacked
+
+    def unpack(self, n: int) -> None:
+        """At least n bits from here, or all there are."""
+        if self.first <= self.pos and min(self.pos + n, self.end) <= self.last:
+            return
+        self.first = self.pos & ~7
+        self.last = min(self.end, self.first + ((max(n, self.CHUNK) + 15) & ~7))
+        self.bits = np.unpackbits(np.frombuffer(self.data, np.uint8, (self.last - self.first) >> 3, self.first >> 3)).astype(np.int64)
+        n = len(self.bits)
+        ones = np.where(self.bits, np.arange(n), n)
+        self.following = np.minimum.accumulate(ones[::-1])[::-1].tolist()
 
     def take(self, n: int) -> int:
         if n == 0:
@@ -91,26 +129,29 @@ class Bits:
             return np.zeros(0, np.int64)
         guess = count * (k + 4) + 64
         while True:
-            bits = self.window(guess)
-            n = len(bits)
-            following = np.where(bits, np.arange(n), n)
-            following = np.minimum.accumulate(following[::-1])[::-1].tolist()  # the next one at or after each bit
-            stops, at = [], 0
-            while at < n and len(stops) < count:
-                at = following[at]
-                stops.append(at)
-                at += 1 + k
-            if len(stops) == count and at <= n and stops[-1] < n:
-                break
-            if self.pos + guess >= self.end:
+            self.unpack(guess)
+            following, at, stops = self.following, self.pos - self.first, []
+            n, begin = len(following), self.pos - self.first
+            try:
+                for _ in range(count):
+                    stop = following[at]
+                    stops.append(stop)
+                    at = stop + 1 + k
+                if at <= n:
+                    break
+            except IndexError:
+                pass
+            if self.last == self.end:
                 raise Broken("truncated")
-            guess *= 2
+            guess = 2 * max(guess, self.last - self.pos)
         stop = np.array(stops, np.int64)
-        begin = np.concatenate(([0], stop[:-1] + 1 + k))
-        v = (stop - begin) << k
+        v = stop.copy()
+        v[0] -= begin
+        v[1:] -= stop[:-1] + 1 + k
+        v <<= k
         for j in range(k):
-            v += bits[stop + 1 + j].astype(np.int64) << (k - 1 - j)
-        self.pos += at
+            v += self.bits[stop + 1 + j] << (k - 1 - j)
+        self.pos = self.first + at
         return (v >> 1) ^ -(v & 1)
 
 
@@ -230,10 +271,58 @@ def restore_linear(warm: np.ndarray, residual: np.ndarray, coefficients: list[in
     back = coefficients[::-1]
     for i, r in enumerate(residual.tolist()):
         x.append(r + (sum(map(int.__mul__, back, x[i : i + order])) >> shift))
-    return np.array(x, np.int64)
+    try:
+        return np.array(x, np.int64)
+    except OverflowError:  # no sound stream: the low bits, as arrays have them
+        return np.array([v & (1 << 64) - 1 for v in x], np.uint64).view(np.int64)
 
 
-def _subframe(b: Bits, n: int, bits: int) -> np.ndarray:
+def restore_side_by_side(warm: np.ndarray, residual: np.ndarray, coefficients: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """restore_linear of many subframes of one order and length, a row each: a sample of all of them at a time."""
+    order, n = warm.shape[1], warm.shape[1] + residual.shape[1]
+    x = np.empty((n, len(warm)), np.int64)
+    x[:order] = warm.T
+    back, rest = np.ascontiguousarray(coefficients[:, ::-1].T), np.ascontiguousarray(residual.T)
+    for i in range(order, n):
+        x[i] = rest[i - order] + ((back * x[i - order : i]).sum(axis=0) >> shift)
+    return x.T
+
+
+@dataclass
+class Subframe:
+    """Samples, or what a linear predictor makes them of."""
+
+    wasted: int
+    x: np.ndarray | None = None
+    warm: np.ndarray | None = None
+    residual: np.ndarray | None = None
+    coefficients: list[int] = field(default_factory=list)
+    shift: int = 0
+
+
+#: Fewer alike are restored one by one.
+_ALIKE = 8
+
+
+def restored(subframes: list[Subframe]) -> list[np.ndarray]:
+    """The samples of each."""
+    out: list = [s.x for s in subframes]
+    alike = defaultdict(list)
+    for i, s in enumerate(subframes):
+        if s.x is None:
+            alike[len(s.warm), len(s.residual)].append(i)
+    for at in alike.values():
+        mine = [subframes[i] for i in at]
+        if len(mine) < _ALIKE:
+            made = [restore_linear(s.warm, s.residual, s.coefficients, s.shift) for s in mine]
+        else:
+            made = restore_side_by_side(np.stack([s.warm for s in mine]), np.stack([s.residual for s in mine]), np.array([s.coefficients for s in mine], np.int64), np.array([s.shift for s in mine], np.int64))
+        for i, x in zip(at, made):
+            out[i] = x
+    return [x << s.wasted if s.wasted else x for x, s in zip(out, subframes)]
+
+
+def _subframe(b: Bits, n: int, bits: int) -> Subframe:
     if b.take(1):
         raise Broken("subframe")
     kind, wasted = b.take(6), 0
@@ -243,31 +332,29 @@ def _subframe(b: Bits, n: int, bits: int) -> np.ndarray:
     if bits < 1:
         raise Broken("subframe")
     if kind == 0:
-        x = np.full(n, b.signed(bits), np.int64)
-    elif kind == 1:
-        x = b.many(n, bits)
-    elif 8 <= kind <= 12 or kind >= 32:
-        order = kind - 8 if kind < 32 else kind - 31
-        if order > n:
-            raise Broken("subframe")
-        warm = b.many(order, bits)
-        if kind < 32:
-            x = restore_fixed(warm, _residual(b, n, order))
-        else:
-            precision, shift = b.take(4) + 1, b.signed(5)
-            if precision == 16 or shift < 0:
-                raise Broken("subframe")
-            coefficients = b.many(order, precision).tolist()
-            x = restore_linear(warm, _residual(b, n, order), coefficients, shift)
-    else:
+        return Subframe(wasted, np.full(n, b.signed(bits), np.int64))
+    if kind == 1:
+        return Subframe(wasted, b.many(n, bits))
+    if not (8 <= kind <= 12 or kind >= 32):
+        raise Broken("subframe")
+    order = kind - 8 if kind < 32 else kind - 31
+    if order > n:
+        raise Broken("subframe")
+    warm = b.many(order, bits)
+    if kind < 32:
+        return Subframe(wasted, restore_fixed(warm, _residual(b, n, order)))
+    precision, shift = b.take(4) + 1, b.signed(5)
+    if precision == 16 or shift < 0:
         raise Broken("subframe")
-    return x << wasted
+    coefficients = b.many(order, precision).tolist()
+    return Subframe(wasted, None, warm, _residual(b, n, order), coefficients, shift)
 
 
-def frame(data: bytes, at: int, s: Stream) -> tuple[Frame, np.ndarray, int]:
-    """The frame at a byte: header, (channel, sample) integers, and the byte after it."""
+def read_frame(data: bytes, at: int, s: Stream, b: Bits | None = None) -> tuple[Frame, list[Subframe], int]:
+    """The frame at a byte, both of its checksums verified: header, subframes, and the byte after it."""
     f = frame_header(data, at, s)
-    b = Bits(data, f.body)
+    b = b or Bits(data)
+    b.pos = f.body * 8
     count = f.mode + 1 if f.mode < 8 else 2
     x = [_subframe(b, f.samples, f.bits + (f.mode in (8, 10) and c == 1 or f.mode == 9 and c == 0)) for c in range(count)]
     end = (b.pos + 7) >> 3
@@ -275,14 +362,25 @@ def frame(data: bytes, at: int, s: Stream) -> tuple[Frame, np.ndarray, int]:
         raise Broken("truncated")
     if crc16(data[at:end]) != int.from_bytes(data[end : end + 2], "big"):
         raise Broken("crc16")
+    return f, x, end + 2
+
+
+def apart(f: Frame, x: list[np.ndarray]) -> np.ndarray:
+    """(channel, sample) integers: stereo decorrelation undone."""
     if f.mode == 8:
-        x[1] = x[0] - x[1]
+        x = [x[0], x[0] - x[1]]
     elif f.mode == 9:
-        x[0] = x[0] + x[1]
+        x = [x[0] + x[1], x[1]]
     elif f.mode == 10:
         mid = (x[0] << 1) | (x[1] & 1)
         x = [(mid + x[1]) >> 1, (mid - x[1]) >> 1]
-    return f, np.stack(x), end + 2
+    return np.stack(x)
+
+
+def frame(data: bytes, at: int, s: Stream) -> tuple[Frame, np.ndarray, int]:
+    """The frame at a byte: header, (channel, sample) integers, and the byte after it."""
+    f, x, end = read_frame(data, at, s)
+    return f, apart(f, restored(x)), end
 
 
 def pcm(x: np.ndarray, bits: int) -> bytes:
@@ -291,47 +389,92 @@ def pcm(x: np.ndarray, bits: int) -> bytes:
     return np.ascontiguousarray(x.T).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def blocks(data: bytes) -> Iterator[dict]:
-    """A dict a frame: block, frame_offset, sample_offset, samples, sample_rate, channels, bits, pcm, status, md5_ok.
+_ROW = ("block", "frame_offset", "sample_offset", "samples", "sample_rate", "channels", "bits", "pcm", "status", "md5_ok")
+#: Samples that are restored together, over frames and streams.
+_TOGETHER = 1 << 20
 
-    ``status`` is ok, or says what is wrong; then there is no PCM and decoding goes on at the next frame header
-    whose CRC-8 holds. ``md5_ok`` is given with the last block of a stream that decoded whole and has a sum. What
-    is no stream at all gives one dict with its status.
-    """
-    base = dict.fromkeys(("block", "frame_offset", "sample_offset", "samples", "sample_rate", "channels", "bits", "pcm", "status", "md5_ok"))
+
+def _frames(data: bytes | None) -> Iterator[tuple[dict, Frame | None, list[Subframe]]]:
+    """(row, header, subframes) a frame, without samples; a row alone where there are none."""
+    base = dict.fromkeys(_ROW)
+    if data is None:
+        yield base | {"status": "null"}, None, []
+        return
     try:
         s = header(data)
     except Broken as e:
-        yield base | {"status": str(e)}
+        yield base | {"status": str(e)}, None, []
         return
-    at, n, sum_, whole, held = s.begin, 0, hashlib.md5(), True, None
+    at, n, total, broken, b = s.begin, 0, 0, False, Bits(data)
     while at < len(data):
         row = base | {"block": n, "frame_offset": at}
         try:
-            f, x, end = frame(data, at, s)
-            body = pcm(x, f.bits)
-            sum_.update(body)
-            row |= {"sample_offset": f.offset, "samples": f.samples, "sample_rate": f.rate, "channels": len(x), "bits": f.bits, "pcm": body, "status": "ok"}
+            f, x, at = read_frame(data, at, s, b)
+            total += f.samples
+            yield row | {"sample_offset": f.offset, "samples": f.samples, "sample_rate": f.rate, "channels": len(x), "bits": f.bits, "status": "ok"}, f, x
         except Broken as e:
-            row["status"], whole, end = str(e), False, at + 1
+            broken = True
             while True:
-                end = data.find(b"\xff", end)
-                if end < 0:
-                    end = len(data)
+                at = data.find(b"\xff", at + 1)
+                if at < 0:
+                    at = len(data)
                     break
                 try:
-                    frame_header(data, end, s)
+                    frame_header(data, at, s)
                     break
                 except Broken:
-                    end += 1
-        if held:
-            yield held
-        held, at, n = row, end, n + 1
-    if held is None:
-        held = base | {"status": "no frames"}
-    elif whole and any(s.md5):
-        held["md5_ok"] = sum_.digest() == s.md5
-    yield held
+                    pass
+            yield row | {"status": str(e)}, None, []
+        n += 1
+    if n == 0:
+        yield base | {"status": "no frames"}, None, []
+    elif s.total and total != s.total and not broken:
+        yield base | {"block": n, "frame_offset": len(data), "status": "truncated" if total < s.total else "more samples than told"}, None, []
+    elif any(s.md5) and not broken:
+        yield base | {"md5_ok": s.md5}, None, []
+
+
+def blocks_of(streams: Iterable[tuple[object, bytes | None]]) -> Iterator[tuple[object, dict]]:
+    """(key, row) for the rows of ``blocks`` of each (key, stream), in order; predictors of many frames run together."""
+    sums: dict[int, object] = {}
+    last: list = []  # the last row, kept until it is known whether a sum follows
+
+    def told(waiting: list) -> Iterator[tuple[object, dict]]:
+        x = iter(restored([s for *_, subframes in waiting for s in subframes]))
+        for number, key, row, f, subframes in waiting:
+            if row["status"] is None:  # the stream's sum
+                last[0][1]["md5_ok"] = sums[number].digest() == row["md5_ok"]
+                continue
+            if f is not None:
+                row["pcm"] = pcm(apart(f, [next(x) for _ in subframes]), f.bits)
+                sums.setdefault(number, hashlib.md5()).update(row["pcm"])
+            if last:
+                yield last.pop()
+            for old in [k for k in sums if k != number]:
+                del sums[old]
+            last.append((key, row))
+
+    waiting, size = [], 0
+    for number, (key, data) in enumerate(streams):
+        for row, f, subframes in _frames(data):
+            waiting.append((number, key, row, f, subframes))
+            size += f.samples * len(subframes) if f else 0
+            if size >= _TOGETHER:
+                yield from told(waiting)
+                waiting, size = [], 0
+    yield from told(waiting)
+    yield from last
+
+
+def blocks(data: bytes | None) -> Iterator[dict]:
+    """A dict a frame: block, frame_offset, sample_offset, samples, sample_rate, channels, bits, pcm, status, md5_ok.
+
+    ``status`` is ok, or says what is wrong; then there is no PCM and decoding goes on at the next frame header
+    whose CRC-8 holds. A stream whose frames are sound but hold fewer or more samples than it tells of has a further
+    dict that says so. ``md5_ok`` is given with the last block of a stream that decoded whole and has a sum. What
+    is no stream at all gives one dict with its status.
+    """
+    return (row for _, row in blocks_of([(None, data)]))
 
 
 # --- encoder ----------------------------------------------------------------------------------------------------
@@ -346,12 +489,14 @@ def _rice_bits(r: np.ndarray, order: int, n: int) -> str | None:
     z = (r << 1) ^ (r >> 63)
     best, parts = None, 0
     while parts < 5 and n % (1 << parts) == 0 and (n >> parts) > order:
-        edges = [0, *((n >> parts) * (i + 1) - order for i in range(1 << parts))]
+        begins = [0, *((n >> parts) * i - order for i in range(1, 1 << parts))]
+        edges = [*begins, n - order]
+        lengths, sums, largest = np.diff(edges), np.add.reduceat(z, begins), np.maximum.reduceat(z, begins)
+        ks = [min(14, max(0, int(m + 0.5).bit_length() - 1)) for m in (sums / lengths).tolist()]
+        costs = (np.add.reduceat(z >> np.repeat(ks, lengths), begins) + lengths * (1 + np.array(ks))).tolist()
         plan, size = [], 0
-        for x, y in zip(edges, edges[1:]):
-            mean = float(z[x:y].mean()) if y > x else 0.0
-            k = min(14, max(0, int(mean + 0.5).bit_length() - 1))
-            cost, raw = int((z[x:y] >> k).sum()) + (y - x) * (1 + k), int(z[x:y].max(initial=0)).bit_length()
+        for x, y, k, cost, most in zip(edges, edges[1:], ks, costs, largest.tolist()):
+            raw = most.bit_length()
             plan.append((x, y, k, raw if (y - x) * raw + 5 < cost and raw < 32 else -1))
             size += 4 + min(cost, (y - x) * raw + 5)
         if best is None or size < best[0]:
@@ -373,7 +518,7 @@ def _rice_bits(r: np.ndarray, order: int, n: int) -> str | None:
     return "".join(out)
 
 
-def _encode_subframe(x: np.ndarray, bits: int, lpc: int) -> str:
+def _encode_subframe(x: np.ndarray, bits: int, lpc: int, linear: bool) -> str:
     n = len(x)
     if (x == x[0]).all():
         return _put(0, 8) + _put(int(x[0]), bits)
@@ -395,7 +540,7 @@ def _encode_subframe(x: np.ndarray, bits: int, lpc: int) -> str:
         coded = _rice_bits(x[lpc:] - ((past @ q) >> shift), lpc, n)
         if coded:
             text = "0" + _put(31 + lpc, 6) + tail + "".join(_put(v, bits) for v in x[:lpc].tolist()) + _put(11, 4) + _put(shift, 5) + "".join(_put(v, 12) for v in q.tolist()) + coded
-            best = min(best or text, text, key=len)
+            best = text if linear else min(best or text, text, key=len)
     if best is None or len(best) > n * bits + 8:
         best = "0" + _put(1, 6) + tail + "".join(_put(v, bits) for v in x.tolist())
     return best
@@ -410,8 +555,9 @@ def _number(v: int) -> bytes:
     return bytes([lead | v >> (6 * more), *(0x80 | v >> (6 * i) & 63 for i in range(more - 1, -1, -1))])
 
 
-def encode(x: np.ndarray, rate: int = 16000, bits: int = 16, block: int = 4096, lpc: int = 2) -> bytes:
-    """A FLAC stream of (channel, sample) integers of ``bits`` bits, of one or two channels."""
+def encode(x: np.ndarray, rate: int = 16000, bits: int = 16, block: int = 4096, lpc: int = 2, linear: bool = False) -> bytes:
+    """A FLAC stream of (channel, sample) integers of ``bits`` bits, of one or two channels. The shortest predictor is
+    taken, or with ``linear`` the linear one of order ``lpc`` where the block has enough samples for it."""
     channels, total = x.shape
     x = x.astype(np.int64)
     head = _put(block, 16) * 2 + _put(0, 48) + _put(rate, 20) + _put(channels - 1, 3) + _put(bits - 1, 5) + _put(total, 36)
@@ -425,7 +571,7 @@ def encode(x: np.ndarray, rate: int = 16000, bits: int = 16, block: int = 4096,
             side = part[0] - part[1]
             modes |= {8: ([part[0], side], [bits, bits + 1]), 9: ([side, part[1]], [bits + 1, bits]), 10: ([(part[0] + part[1]) >> 1, side], [bits, bits + 1])}
         mode = min(modes, key=lambda m: sum(int(np.abs(np.diff(c)).sum()) for c in modes[m][0]))
-        body = "".join(_encode_subframe(c, w, lpc) for c, w in zip(*modes[mode]))
+        body = "".join(_encode_subframe(c, w, lpc, linear) for c, w in zip(*modes[mode]))
         h = bytes([0xFF, 0xF8, 0x70, mode << 4]) + _number(i) + (n - 1).to_bytes(2, "big")
         h += bytes([crc8(h)])
         body += "0" * (-len(body) % 8)
