@@ -20,24 +20,28 @@ from pyspark.sql.window import Window
 from .common import draw, draw_sql, fresh, small, text_bytes, without, written
 
 MAX_EPOCHS, TEMPERATURE = 4.0, 0.9
+#: The query's and the pipeline's target weights: of two sources, and what all others have together. The second is a
+#: small source that can't fill its share, so that it is clamped and the others take its excess.
+TARGETS, REST = {"src0": 0.24, "src1": 0.20}, 0.56
 
 
-def allocation(df: DataFrame, source: str = "source", text: str = "text", weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE, max_epochs: float = MAX_EPOCHS, budget: int | None = None) -> DataFrame:
+def allocation(df: DataFrame, source: str = "source", text: str = "text", weights: Mapping[str, float] | None = None, rest: float = 0.0, temperature: float = TEMPERATURE, max_epochs: float = MAX_EPOCHS, budget: int | None = None) -> DataFrame:
     """A row a source: ``s``, ``bytes``, ``weight`` (summing to 1), ``epochs``.
 
     Sizes are bytes of text plus one a record; a null source is a source of its own, named ''. Without ``weights``
-    a source weighs its size to the power ``temperature``; with them, sources not named weigh nothing and get no
-    epochs. Without ``budget`` (bytes to fill), it is the least at which no source of positive weight would fall below one epoch. A budget
+    a source weighs its size to the power ``temperature``; with them, the sources not named share the weight ``rest``
+    in proportion to that power, and weigh nothing and get no epochs if it is 0. Without ``budget`` (bytes to fill), it is the least at which no source of positive weight would fall below one epoch. A budget
     beyond all caps leaves every source at its cap. Ties in cap over weight are clamped together.
     """
     got = df.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s")).agg(F.sum(text_bytes(text)).cast("double").alias("bytes"))
-    if weights is None:
-        raw = F.pow("bytes", F.lit(temperature))
-    else:
-        pairs = [F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]
-        raw = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("s")), F.lit(0.0)) if pairs else F.lit(0.0)
     every = Window.partitionBy()  # over the sources: a row each
-    w = got.withColumn("raw", raw).withColumn("weight", F.when(F.sum("raw").over(every) > 0, F.col("raw") / F.sum("raw").over(every)).otherwise(0.0)).drop("raw")
+    raw = F.pow("bytes", F.lit(temperature))
+    if weights is not None:
+        pairs = [F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]
+        named = F.try_element_at(F.create_map(*pairs), F.col("s")) if pairs else F.lit(None).cast("double")
+        got = got.withColumn("named", named).withColumn("size", F.when(F.col("named").isNull(), raw))
+        raw = F.coalesce("named", F.lit(float(rest)) * F.col("size") / F.sum("size").over(every))
+    w = got.withColumn("raw", raw).withColumn("weight", F.when(F.sum("raw").over(every) > 0, F.col("raw") / F.sum("raw").over(every)).otherwise(0.0)).select("s", "bytes", "weight")
     live = w.where("weight > 0")
     live = live.withColumn("cap", F.col("bytes") * F.lit(max_epochs)).withColumn("fill", F.lit(float(budget)) if budget is not None else F.max(F.col("bytes") / F.col("weight")).over(every))
     order = Window.orderBy(F.col("cap") / F.col("weight"), "s")
@@ -67,10 +71,13 @@ def mix(df: DataFrame, source: str = "source", id_column: str = "doc_id", text:
 
 
 def mix_sql(columns: str = "doc_id, text, lang, source, n_chars", seed: str = "mix") -> str:
-    """The same as DuckDB SQL, for the default parameters."""
+    """The same as DuckDB SQL, for the weights TARGETS and REST and the default parameters otherwise."""
+    named = " ".join(f"WHEN '{s}' THEN {w}::DOUBLE" for s, w in TARGETS.items())
     return f"""
 WITH w0 AS (SELECT coalesce(source, '') AS s, sum(coalesce(strlen(text), 0) + 1)::DOUBLE AS bytes FROM documents GROUP BY 1),
-w AS (SELECT s, bytes, pow(bytes, {TEMPERATURE}) / sum(pow(bytes, {TEMPERATURE})) OVER () AS weight FROM w0),
+w1 AS (SELECT s, bytes, CASE s {named} END AS named, CASE WHEN named IS NULL THEN pow(bytes, {TEMPERATURE}) END AS size FROM w0),
+w2 AS (SELECT s, bytes, coalesce(named, {REST}::DOUBLE * size / sum(size) OVER ()) AS raw FROM w1),
+w AS (SELECT s, bytes, raw / sum(raw) OVER () AS weight FROM w2),
 a AS (SELECT *, bytes * {MAX_EPOCHS} AS cap, max(bytes / weight) OVER () AS fill FROM w),
 b AS (SELECT *, cap / weight AS ratio, coalesce(sum(cap) OVER (ORDER BY cap / weight, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps,
   sum(weight) OVER (ORDER BY cap / weight, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM a),

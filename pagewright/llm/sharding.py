@@ -14,11 +14,13 @@ What is held on the driver is one splitter and one size a shard.
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from .common import draw, draw_sql, fresh, text_bytes, without, written
@@ -26,20 +28,32 @@ from .common import draw, draw_sql, fresh, text_bytes, without, written
 SHARDS, SHARD_BYTES, OVERSAMPLE, SLACK = 64, 1 << 30, 64, 1.25
 #: Splitters held in memory; beyond it, ask for larger shards.
 MOST_SHARDS = 1_000_000
+#: The key of the query and the pipeline: a source may be a third of all rows, and its documents are in order of id.
+CORPUS_KEY = ("source", "doc_id")
 
 
-def shard(df: DataFrame, key: str = "source", id_column: str = "doc_id", text: str = "text", shards: int = SHARDS, shard_bytes: int = SHARD_BYTES, oversample: int = OVERSAMPLE, slack: float = SLACK, seed: str = "shard") -> DataFrame:
+def sort_key(df: DataFrame, key: str | Sequence[str]) -> Column:
+    """A string in the order of the key; of several columns, in the order of the first, then the next. Integers of a
+    key of several are padded, so that those from zero up are in their own order; nulls are empty strings."""
+    if isinstance(key, str):
+        return F.coalesce(F.col(key).cast("string"), F.lit(""))
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.concat_ws("\x01", *(F.lpad(plain(c), 20, "0") if isinstance(df.schema[c].dataType, IntegralType) else plain(c) for c in key))
+
+
+def shard(df: DataFrame, key: str | Sequence[str] = "source", id_column: str = "doc_id", text: str = "text", shards: int = SHARDS, shard_bytes: int = SHARD_BYTES, oversample: int = OVERSAMPLE, slack: float = SLACK, seed: str = "shard") -> DataFrame:
     """df with ``range_id`` and ``shard_id`` (both 0-based ints), each shard in a partition of its own.
 
-    There are ``shards`` shards to aim at, or more if one would exceed ``shard_bytes``. Every row is kept, repeated
+    There are ``shards`` shards to aim at, or more if one would exceed ``shard_bytes``. With a key of several columns,
+    such as source and id, splitters fall inside a hot source. Every row is kept, repeated
     rows each. A null key counts as the empty string and comes first; a null id draws as the empty string; a null
     or empty text weighs one byte; one long text is never split. Rows with equal key and id land together. An empty
     df gives an empty result. Columns named range_id or shard_id are replaced; others pass through.
     """
     spark = df.sparkSession
     base = without(df, ["range_id", "shard_id"])
-    sort_key = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    meta = written(base.select(sort_key.alias("k"), F.col(id_column).cast("string").alias("id"), text_bytes(text).alias("b")), "shard-meta")
+    by = sort_key(df, key)
+    meta = written(df.select(by.alias("k"), F.col(id_column).cast("string").alias("id"), text_bytes(text).alias("b")), "shard-meta")
     total = meta.agg(F.sum("b")).first()[0]
     if total is None:
         return base.withColumns({"range_id": F.lit(None).cast("int"), "shard_id": F.lit(None).cast("int")})
@@ -61,10 +75,10 @@ def shard(df: DataFrame, key: str = "source", id_column: str = "doc_id", text: s
 
     @F.pandas_udf("int")
     def range_of(k: pd.Series) -> pd.Series:
-        seen = {x: bisect_left(shared.value, x) for x in k.unique()}
-        return k.map(seen).astype("int32")
+        codes, distinct = pd.factorize(k)
+        return pd.Series(np.searchsorted(np.array(shared.value, object), np.array(distinct, object))[codes].astype("int32"))
 
-    sizes = sorted(meta.groupBy("k").agg(F.sum("b").alias("b")).groupBy(range_of("k").alias("r")).agg(F.sum("b").alias("b")).collect())
+    sizes = sorted(meta.select(range_of("k").alias("r"), "b").groupBy("r").agg(F.sum("b").alias("b")).collect())
     plan, at = [], 0
     for r, b in sizes:
         parts = math.ceil(b / width) if b > slack * width else 1
@@ -72,22 +86,23 @@ def shard(df: DataFrame, key: str = "source", id_column: str = "doc_id", text: s
         at += parts
     r, parts, first = fresh(base, "_r", "_parts", "_first")
     ranges = F.broadcast(spark.createDataFrame(plan, f"{r} int, {parts} int, {first} int"))  # a row a range
-    out = base.withColumn("range_id", range_of(sort_key)).join(ranges, F.col("range_id") == F.col(r))
+    out = base.withColumn("range_id", range_of(by)).join(ranges, F.col("range_id") == F.col(r))
     sub = F.floor(draw(F.col(id_column), seed + "-part") * F.col(parts))
     out = out.withColumn("shard_id", (F.col(first) + sub).cast("int")).drop(r, parts, first)
     return out.repartitionById(at, F.col("shard_id"))
 
 
 def shard_sql(source: str = "documents", columns: str = "doc_id, text, lang, source, n_chars", seed: str = "shard") -> str:
-    """The same as DuckDB SQL for key source, id doc_id and the default parameters."""
+    """The same as DuckDB SQL for the key (source, doc_id), id doc_id and the default parameters."""
     return f"""
-WITH meta AS (SELECT {columns}, coalesce(source, '') AS k, coalesce(strlen(text), 0) + 1 AS b FROM {source}),
+WITH meta AS (SELECT {columns}, coalesce(source, '') || chr(1) || lpad(coalesce(doc_id::VARCHAR, ''), 20, '0') AS k, coalesce(strlen(text), 0) + 1 AS b FROM {source}),
 t AS (SELECT sum(b)::BIGINT AS total, greatest({SHARDS}, ceil(sum(b) / {SHARD_BYTES}.0))::BIGINT AS n FROM meta),
 p AS (SELECT greatest(1, total // n) AS width, {OVERSAMPLE}.0::DOUBLE * n / total AS rate, ceil(total / ({OVERSAMPLE}.0::DOUBLE * n))::BIGINT AS step FROM t),
 s AS (SELECT k, sum(greatest(b, step))::BIGINT AS w FROM meta, p WHERE {draw_sql("doc_id", seed)} < b * rate GROUP BY k),
 c AS (SELECT k, w, sum(w) OVER (ORDER BY k)::BIGINT AS cum FROM s),
 splits AS (SELECT k FROM c, p WHERE cum // width > (cum - w) // width),
-keys AS (SELECT k, sum(b) AS b, (SELECT count(*) FROM splits WHERE splits.k < g.k) AS r FROM meta g GROUP BY k),
+numbered AS (SELECT k AS after, row_number() OVER (ORDER BY k) AS r FROM splits UNION ALL SELECT NULL, 0),
+keys AS (SELECT g.k, g.b, coalesce(n.r, 0) AS r FROM (SELECT k, sum(b) AS b FROM meta GROUP BY k) g ASOF LEFT JOIN (SELECT * FROM numbered WHERE r > 0) n ON g.k > n.after),
 sizes AS (SELECT r, sum(b) AS b FROM keys GROUP BY r),
 parts AS (SELECT r, CASE WHEN b > {SLACK} * width THEN ceil(b / width::DOUBLE) ELSE 1 END::BIGINT AS parts FROM sizes, p),
 plan AS (SELECT r, parts, sum(parts) OVER (ORDER BY r)::BIGINT - parts AS first FROM parts)

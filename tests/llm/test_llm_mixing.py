@@ -8,7 +8,18 @@ from pagewright.llm import mixing
 
 
 def test_equals_sql(load, sf_dir):
-    oracle.assert_same(mixing.mix(load("documents")), oracle.connect(sf_dir), mixing.mix_sql())
+    oracle.assert_same(mixing.mix(load("documents"), weights=mixing.TARGETS, rest=mixing.REST), oracle.connect(sf_dir), mixing.mix_sql())
+
+
+@pytest.mark.parametrize("d", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_targets_clamp_a_source_and_lose_no_document(load, d):
+    docs = load("documents", d)
+    plan = {r.s: r for r in mixing.allocation(docs, weights=mixing.TARGETS, rest=mixing.REST).collect()}
+    assert plan["src1"].epochs == mixing.MAX_EPOCHS and all(1 <= r.epochs <= mixing.MAX_EPOCHS for r in plan.values())
+    free = [r for r in plan.values() if r.epochs < mixing.MAX_EPOCHS]
+    levels = [r.epochs * r.bytes / r.weight for r in free]
+    assert max(levels) == pytest.approx(min(levels))  # what is not clamped shares in proportion to weight
+    assert levels[0] > max(r.bytes / r.weight for r in plan.values())  # and has taken the excess
 
 
 def filled(sizes, weights, cap, budget):
@@ -58,3 +69,4 @@ def test_odd_rows(odd, none):
     assert all(r.repetition <= 3 for r in rows)
     assert mixing.mix(none).collect() == []
     assert mixing.mix(odd, weights={}).collect() == []
+    assert {r.doc_id for r in mixing.mix(odd, weights={"b": 0.5}, rest=0.5).collect()} == {1, 2, 3, 4, 5, 6, 7, None}

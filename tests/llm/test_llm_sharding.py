@@ -5,7 +5,9 @@ from pagewright.llm import sharding
 
 
 def test_equals_sql(load, sf_dir):
-    oracle.assert_same(sharding.shard(load("documents")), oracle.connect(sf_dir), sharding.shard_sql())
+    out = sharding.shard(load("documents"), key=sharding.CORPUS_KEY)
+    oracle.assert_same(out, oracle.connect(sf_dir), sharding.shard_sql())
+    assert out.select("range_id").distinct().count() > 40
 
 
 def test_shards_are_partitions_and_ranges_follow_keys(load):
@@ -33,6 +35,17 @@ def test_an_overfull_range_is_subdivided(spark):
     assert max(r["count"] for r in rows) <= 600
 
 
+def test_splitters_fall_inside_a_hot_source(spark):
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("source"), F.lit("x" * 99).alias("text"))
+    rows = sharding.shard(docs, key=("source", "doc_id"), shards=12).where("source = 'hot'").collect()
+    assert len({r.range_id for r in rows}) >= 4
+    spans = {}
+    for r in rows:
+        spans.setdefault(r.range_id, []).append(r.doc_id)
+    ordered = [(min(v), max(v)) for _, v in sorted(spans.items())]
+    assert all(a[1] < b[0] for a, b in zip(ordered, ordered[1:]))  # by number, not by digits
+
+
 def test_odd_rows(odd, none):
     out = sharding.shard(odd, shards=4)
     rows = out.collect()
@@ -40,4 +53,5 @@ def test_odd_rows(odd, none):
     assert out.columns == [c for c in odd.columns if c not in ("range_id", "shard_id")] + ["range_id", "shard_id"]
     assert all(isinstance(r.range_id, int) and r._parts == "mine-_parts" and r._r == "mine-_r" for r in rows)
     assert len({r.shard_id for r in rows if r.doc_id == 1}) == 1
-    assert sharding.shard(none).collect() == []
+    assert sharding.shard(none).collect() == sharding.shard(none, key=("source", "doc_id")).collect() == []
+    assert sharding.shard(odd, key=("source", "doc_id"), shards=4).count() == odd.count()
