@@ -18,23 +18,29 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null, empty and wordless texts stay; equal texts are judged alike. Without toxic labels nothing goes."""
     return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels")).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of a group the smallest id stays. Null, empty and wordless texts and rows without an id stay; equal rows are
+    one document, of which one row stays."""
     return ngram_join.deduplicate(docs).select(COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row is judged by its own text; null, empty and wordless texts stay. Without test items nothing goes."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(COLUMNS)
+    """Every row stays, some more than once; a null source is one of its own; rows of one id are repeated alike."""
+    return mixing.mix(docs, weights=mixing.TARGETS, rest=mixing.REST).select(COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard(docs)
+    """Every row stays; rows of null source come first, and rows of one source and id are together."""
+    return sharding.shard(docs, key=sharding.CORPUS_KEY)
 
 
 STAGES = [
