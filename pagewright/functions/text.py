@@ -6,6 +6,8 @@ Whitespace, letters and digits are Unicode's, written out for each regular-expre
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ def _c(x: Str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(x: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of x, which is evaluated once a row however often ``then`` names it, also in the lambdas within."""
+    return F.transform(F.array(x), then)[0]
+
+
 def strip(x: Str) -> Column:
     """Without white space at either end, in Unicode's sense."""
     return F.regexp_replace(_c(x), rf"\A{WS}+|{WS}+\z", "")
@@ -59,16 +66,19 @@ def nonspace_bytes_sql(x: str) -> str:
 
 def readability_counts(x: Str) -> Column:
     """Struct of chars, alnum, bad, tokens, wordlike: the whole numbers behind readability."""
-    s = squeeze(x)
-    tokens = F.filter(F.split(_c(x), f"{WS}+"), lambda t: t != "")
-    like = F.filter(tokens, lambda t: t.rlike(LETTER + "{3,}") | t.rlike(NUMERIC))
-    return F.struct(
-        F.char_length(s).cast("long").alias("chars"),
-        F.char_length(F.regexp_replace(s, r"[^\p{L}\p{N}]", "")).cast("long").alias("alnum"),
-        F.char_length(F.regexp_replace(s, r"[^\x{FFFD}\x00-\x1f]", "")).cast("long").alias("bad"),
-        F.size(tokens).cast("long").alias("tokens"),
-        F.size(like).cast("long").alias("wordlike"),
-    )
+
+    def counts(s: Column, tokens: Column) -> Column:
+        like = F.filter(tokens, lambda t: t.rlike(LETTER + "{3,}") | t.rlike(NUMERIC))
+        return F.struct(
+            F.char_length(s).cast("long").alias("chars"),
+            F.char_length(F.regexp_replace(s, r"[^\p{L}\p{N}]+", "")).cast("long").alias("alnum"),
+            F.char_length(F.regexp_replace(s, r"[^\x{FFFD}\x00-\x1f]+", "")).cast("long").alias("bad"),
+            F.size(tokens).cast("long").alias("tokens"),
+            F.size(like).cast("long").alias("wordlike"),
+        )
+
+    split = F.filter(F.split(_c(x), f"{WS}+"), lambda t: t != "")
+    return once(split, lambda tokens: once(F.array_join(tokens, ""), lambda s: counts(s, tokens)))
 
 
 def readability_counts_sql(x: str) -> str:
@@ -93,7 +103,14 @@ def readability(x: Str) -> Column:
 
 
 def ratios(counts: Column) -> Column:
-    return F.struct(ratio(counts["alnum"], counts["chars"]).alias("letter_digit_ratio"), F.when(counts["chars"] > 0, ratio(counts["wordlike"], counts["tokens"])).otherwise(0.0).alias("word_score"), ratio(counts["bad"], counts["chars"]).alias("replacement_ratio"))
+    return once(
+        counts,
+        lambda c: F.struct(
+            ratio(c["alnum"], c["chars"]).alias("letter_digit_ratio"),
+            F.when(c["chars"] > 0, ratio(c["wordlike"], c["tokens"])).otherwise(0.0).alias("word_score"),
+            ratio(c["bad"], c["chars"]).alias("replacement_ratio"),
+        ),
+    )
 
 
 def cleanup(x: Str) -> Column:
@@ -118,8 +135,7 @@ def cleanup_sql(x: str) -> str:
 
 def lines(x: Str) -> Column:
     """Lines by any Unicode line end; a final end makes no empty line."""
-    parts = F.split(_c(x), LINE, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return once(F.split(_c(x), LINE, -1), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
 def lines_sql(x: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import Str, _c
+from pagewright.functions.text import Str, _c, once
 
 from .geometry import looks_tabular
 
@@ -16,8 +16,8 @@ REVIEW = "review-vision"
 def mean_conf(words: Str) -> Column:
     """Mean confidence of the words that are not blank and not -1; 0 for none."""
     kept = F.filter(_c(words), lambda w: (w["conf"] != -1) & (F.trim(w["text"]) != ""))
-    total = F.aggregate(kept, F.lit(0).cast("bigint"), lambda a, w: a + w["conf"])
-    return F.when(F.coalesce(F.size(kept), F.lit(0)) > 0, total / F.size(kept)).otherwise(0.0)
+    total = lambda k: F.aggregate(k, F.lit(0).cast("bigint"), lambda a, w: a + w["conf"])
+    return once(kept, lambda k: F.when(F.coalesce(F.size(k), F.lit(0)) > 0, total(k) / F.size(k)).otherwise(0.0))
 
 
 def issues(conf: Str, words: Str, least: float | Str = MIN_CONF) -> Column:
