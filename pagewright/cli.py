@@ -23,7 +23,7 @@ from pagewright.functions.requirements import Failure
 from pagewright.functions.text import DEFAULT_PROMPT
 from pagewright.operators import cache, outputs, pagesets, probe, render
 from pagewright.plans import frame_sink
-from pagewright.plans.recognize import Options, recognize, recognize_images
+from pagewright.plans.recognize import Options, recognize, recognize_images, written
 from pagewright.sources import documents, frames
 
 ENGINES = ("tesseract", "easyocr", "paddleocr", "paddleocr-vl-mlx", "vision")
@@ -130,6 +130,7 @@ def configured(args, env: Mapping[str, str], prefix: str) -> Options:
         psm=get("psm", base.psm, int), min_conf=get("min_conf", base.min_conf, float), timeout=timeout, pages=getattr(args, "pages", ""), max_pages=getattr(args, "max_pages", 0),
         force=getattr(args, "force", False), skip_ocr=getattr(args, "skip_ocr", False), no_cleanup=getattr(args, "no_cleanup", False),
         vision_prompt=_prompt(args, env.get(f"{prefix}_VISION_PROMPT", ""), env.get(f"{prefix}_VISION_PROMPT_FILE", "")), vision_model=get("vision_model", ""), vision_url=get("vision_api_url", ""),
+        paddle_vl_server_url=get("paddle_vl_server_url", ""), paddle_vl_model=get("paddle_vl_model", ""),
     )
 
 
@@ -171,11 +172,12 @@ def _pages(files: DataFrame) -> DataFrame:
     return documents.split_pages(text.select("path", stop.alias("text")))
 
 
-def _renderer(files: DataFrame, options: Options):
+def _renderer(files: DataFrame, options: Options, signals: DataFrame):
     def run(todo: DataFrame) -> DataFrame:
         wanted = todo.groupBy("path").agg(F.sort_array(F.collect_set("n")).alias("pages"))
-        dpi = F.lit(options.dpi) if options.dpi else auto_dpi(F.lit(None), F.lit("pdf"))
-        images = documents.rendered(files.join(wanted, "path").withColumn("dpi", dpi))
+        wide = signals.select("path", "width")
+        dpi = F.lit(options.dpi) if options.dpi else auto_dpi("width", F.lit("pdf"))
+        images = documents.rendered(files.join(wanted, "path").join(wide, "path", "left").withColumn("dpi", dpi))
         images = images.withColumn("content", F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(": ", "path", "error")).cast("binary")).otherwise(F.col("content")))
         return todo.join(images.drop("error"), ["path", "n"])
 
@@ -191,7 +193,9 @@ def pages_of(spark: SparkSession, paths: list[str], options: Options, kept: cach
     if pdfs:
         requirements.require(requirements.pdf_requirement("text"))
         files = _named(documents.files(spark, *pdfs))
-        parts.append(recognize(_pages(files), options, documents.signals(files).drop("pages"), kept, _renderer(files, options)))
+        signals = written(documents.signals(files), "signals")
+        pages = _pages(files).join(files.select("path", "modified", "length"), "path")
+        parts.append(recognize(pages, options, signals.drop("pages"), kept, _renderer(files, options, signals)))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
@@ -307,11 +311,12 @@ def handoff(argv: list[str] | None = None, spark: SparkSession | None = None) ->
             for need in ("text", "render"):
                 requirements.require(requirements.pdf_requirement(need))
             files = _named(documents.files(spark, os.path.abspath(p)))
-            got = probe.probe_pdfs(_pages(files), documents.signals(files).drop("pages"))
+            signals = written(documents.signals(files), "signals")
+            got = probe.probe_pdfs(_pages(files), signals.drop("pages"))
             if blocked := got.where("status = 'blocked'").select("reason").head():
                 raise Failure(blocked.reason)
-            wanted = got.select("path", pagesets.resolve_range(F.lit(args.pages), "pages", F.lit(0)).alias("pages"))
-            images = documents.rendered(files.join(wanted, "path").withColumn("dpi", F.lit(args.dpi) if args.dpi else auto_dpi(F.lit(None), F.lit("pdf"))))
+            wanted = got.select("path", pagesets.resolve_range(F.lit(args.pages), "pages", F.lit(0)).alias("pages")).join(signals.select("path", "width"), "path", "left")
+            images = documents.rendered(files.join(wanted, "path").withColumn("dpi", F.lit(args.dpi) if args.dpi else auto_dpi("width", F.lit("pdf"))))
             folder, rows = tempfile.mkdtemp(prefix="handoff-"), []
             for r in images.toLocalIterator():  # a file a page, on the machine of whoever reads them
                 if r.error:

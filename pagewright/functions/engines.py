@@ -1,7 +1,7 @@
 """Recognition engines: functions from batches of page images to batches of results, run by mapInPandas.
 
-An engine takes an iterator of frames with (path, n, content, text) and yields frames with (path, n, text, markdown,
-mean_conf, words, error). A failure is a row with an error, not an exception: a retried task must not repeat paid
+An engine takes an iterator of frames with (path, n, content, text, lang) and yields frames with (path, n, text,
+markdown, mean_conf, words, error) and, if it likes, elapsed_s. A failure is a row with an error, not an exception: a retried task must not repeat paid
 calls, and the workflow decides whether to stop. Engines are looked up by name on the executors, so a worker loads a
 model once.
 
@@ -11,19 +11,22 @@ output parsers are in ``operators.geometry`` and are tested, the programs themse
 
 from __future__ import annotations
 
+import os
 import shutil
 import subprocess
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .codes import PADDLE_LANG
 from .requirements import engine_requirement, importing, require, vision_settings
 from .text import DEFAULT_PROMPT
 
-RESULT = "path string, n int, text string, markdown string, mean_conf double, words array<struct<text:string,conf:int,bbox:array<int>>>, error string"
+RESULT = "path string, n int, text string, markdown string, mean_conf double, words array<struct<text:string,conf:int,bbox:array<int>>>, error string, elapsed_s double"
 Run = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
@@ -49,8 +52,14 @@ def engine(name: str) -> Engine:
 
 
 def apply(pages: DataFrame, name: str) -> DataFrame:
-    """Results of an engine on pages (path, n, content or text)."""
-    return pages.mapInPandas(engine(name).run, RESULT)
+    """Results of an engine on pages (path, n, content or text, and lang where it is known)."""
+    run = engine(name).run
+
+    def timed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in run(batches):
+            yield b if "elapsed_s" in b else b.assign(elapsed_s=None)
+
+    return pages.mapInPandas(timed, RESULT)
 
 
 def _stub(shift: int) -> Run:
@@ -65,21 +74,22 @@ def _stub(shift: int) -> Run:
 
 
 def _row(path: str, n: int, **more) -> dict:
-    return {"path": path, "n": n, "text": "", "markdown": None, "mean_conf": None, "words": [], "error": None} | more
+    return {"path": path, "n": n, "text": "", "markdown": None, "mean_conf": None, "words": [], "error": None, "elapsed_s": None} | more
 
 
-def _adapter(page: Callable[[object, str, int, bytes], dict], load: Callable[[], object]) -> Run:
-    """An engine from a function of one page; its model is loaded once a worker, when the first page comes."""
+def _adapter(page: Callable[[object, str, int, bytes], dict], load: Callable[[str], object], of: Callable[[str], str] = lambda lang: "") -> Run:
+    """An engine from a function of one page; its model is loaded once a worker, and for each language that ``of`` tells
+    apart, when the first page comes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model: list = []
+        models: dict = {}
         for b in batches:
             rows = []
-            for path, n, content in zip(b["path"], b["n"], b["content"]):
+            for path, n, content, lang in zip(b["path"], b["n"], b["content"], _langs(b)):
                 try:
-                    if not model:
-                        model.append(load())
-                    rows.append(_row(path, n, **page(model[0], path, int(n), content)))
+                    if (key := of(lang)) not in models:
+                        models[key] = load(key)
+                    rows.append(_row(path, n, **page(models[key], path, int(n), content)))
                 except Exception as e:  # a row: a retried task would repeat paid calls, and messages may hold secrets
                     rows.append(_row(path, n, error=f"{type(e).__name__} on page {n}"))
             if rows:
@@ -88,6 +98,11 @@ def _adapter(page: Callable[[object, str, int, bytes], dict], load: Callable[[],
     return run
 
 
+def _langs(b: pd.DataFrame, default: str = "") -> list[str]:
+    """The language of each page: its own, where the workflow has found one."""
+    return [x or default for x in b["lang"]] if "lang" in b else [default] * len(b)
+
+
 def _image_file(content: bytes):
     f = tempfile.NamedTemporaryFile(suffix=".png")
     f.write(content)
@@ -111,7 +126,7 @@ def line_result(texts: list[str], scores: list[float], polys: list) -> dict:
 def easyocr() -> Run:
     """Russian and English lines on the CPU, whatever the language asked for."""
 
-    def load():
+    def load(_):
         with importing("easyocr", "easyocr"):
             import easyocr as package
         return package.Reader(["ru", "en"], gpu=False)
@@ -124,8 +139,15 @@ def easyocr() -> Run:
     return _adapter(page, load)
 
 
-def paddleocr(lang: str = "en") -> Run:
-    def load():
+def line_lang(lang: str) -> str:
+    """codes.paddle_lang of one value."""
+    return PADDLE_LANG.get((lang or "").split("+")[0].strip().lower(), "en")
+
+
+def paddleocr() -> Run:
+    """Lines in the language of each page, as the line recogniser calls it."""
+
+    def load(lang: str):
         with importing("paddleocr", "paddle"):
             import paddleocr as package
         return package.PaddleOCR(lang=lang, use_doc_orientation_classify=False, use_doc_unwarping=False)
@@ -139,7 +161,7 @@ def paddleocr(lang: str = "en") -> Run:
                 polys += list(r["rec_polys"] if r.get("rec_polys") is not None else r.get("dt_polys") or [])
         return line_result(texts, scores, polys)
 
-    return _adapter(page, load)
+    return _adapter(page, load, line_lang)
 
 
 def _markdown_of(results) -> str:
@@ -156,7 +178,7 @@ def paddleocr_vl(server_url: str, model: str) -> Run:
     """Markdown by a document parser whose language model is served on this machine; asked again once if empty."""
     require(engine_requirement("paddleocr-vl-mlx", {"paddle_vl_server_url": server_url, "paddle_vl_model": model}))
 
-    def load():
+    def load(_):
         with importing("paddleocr", "paddle-vl"):
             import paddleocr as package
         return package.PaddleOCRVL(vl_rec_backend="mlx-vlm-server", vl_rec_server_url=server_url.rstrip("/") + "/", vl_rec_max_concurrency=1, vl_rec_api_model_name=model, markdown_ignore_labels=[])
@@ -199,7 +221,7 @@ def vision(key: str, model: str, url: str = "", prompt: str = "", timeout: float
     key, model, endpoint = vision_settings(key, model, url)
     text = prompt if prompt.strip() else DEFAULT_PROMPT
 
-    def load():
+    def load(_):
         with importing("openai", "vision"):
             import openai as package
         return package.OpenAI(api_key=key, base_url=endpoint, **({} if timeout is None else {"timeout": timeout}))
@@ -230,35 +252,92 @@ register_engine("stub", _stub(25))
 register_engine("stub-clean", _stub(40))
 
 
+def _retry_wins(first: list[dict], again: list[dict], mean: Callable[[list[dict]], float]) -> bool:
+    """geometry.better_retry of one page."""
+    return len(again) > len(first) or (bool(again) and mean(again) > mean(first) + 5)
+
+
+def _mean(words: list[dict]) -> float:
+    return sum(w["conf"] for w in words) / len(words) if words else 0.0
+
+
+def package_page(package, name: str, lang: str, psm: int) -> dict:
+    """A page by the recogniser's package. What was read as English alone is read again as Russian and English, and
+    that is taken if it is better: a page of few words may hide its script."""
+    config = f"--oem 3 --psm {psm}"
+
+    def read(lang: str) -> list[dict]:
+        got = package.image_to_data(name, lang=lang, config=config, output_type=package.Output.DICT)
+        boxes = zip(got["left"], got["top"], got["width"], got["height"])
+        return [{"text": t, "conf": int(c), "bbox": list(box)} for t, c, box in zip(got["text"], got["conf"], boxes) if int(c) != -1 and t.strip()]
+
+    words = read(lang)
+    if lang == "eng" and _retry_wins(words, again := read("rus+eng"), _mean):
+        words, lang = again, "rus+eng"
+    return {"text": package.image_to_string(name, lang=lang, config=config), "words": words, "mean_conf": _mean(words)}
+
+
+def program_page(program: str, name: str, lang: str, psm: int) -> dict:
+    """A page by the command-line recogniser: text, and words from its table."""
+    call = [program, name, "stdout", "-l", lang, "--oem", "3", "--psm", str(psm)]
+    table = subprocess.run([*call, "tsv"], capture_output=True, text=True)
+    plain = subprocess.run(call, capture_output=True, text=True)
+    if plain.returncode:
+        return {"error": f"{os.path.basename(program)} failed with {plain.returncode}"}
+    words = parse_tsv(table.stdout) if not table.returncode else []
+    return {"text": plain.stdout, "words": [w | {"conf": int(w["conf"])} for w in words], "mean_conf": _mean(words)}
+
+
+def _recogniser():
+    """The recogniser's package, or None where it is missing or broken: then its program is called."""
+    try:
+        import pytesseract
+
+        return pytesseract
+    except (ImportError, OSError):
+        return None
+
+
 def tesseract(lang: str = "eng", psm: int = 3, binary: str = "tesseract") -> Run:
-    """The command-line recogniser on image bytes: text, and words from its table."""
+    """Pages in their own language, or in ``lang``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        program = shutil.which(binary)
+        program, package = shutil.which(binary), _recogniser()
         for b in batches:
             rows = []
-            for path, n, content in zip(b["path"], b["n"], b["content"]):
-                row = {"path": path, "n": n, "text": "", "markdown": None, "mean_conf": 0.0, "words": [], "error": None}
+            for path, n, content, own in zip(b["path"], b["n"], b["content"], _langs(b, lang)):
+                began = time.monotonic()
                 if program is None:
-                    row["error"] = f"{binary} is not installed"
+                    made = {"error": f"{binary} is not installed"}
                 else:
-                    with tempfile.NamedTemporaryFile(suffix=".png") as f:
-                        f.write(content)
-                        f.flush()
-                        call = [program, f.name, "stdout", "-l", lang, "--oem", "3", "--psm", str(psm)]
-                        table = subprocess.run([*call, "tsv"], capture_output=True, text=True)
-                        plain = subprocess.run(call, capture_output=True, text=True)
-                    if plain.returncode:
-                        row["error"] = f"{binary} failed with {plain.returncode}"
-                    else:
-                        words = parse_tsv(table.stdout) if not table.returncode else []
-                        row |= {"text": plain.stdout, "words": [w | {"conf": int(w["conf"])} for w in words], "mean_conf": sum(w["conf"] for w in words) / len(words) if words else 0.0}
-                rows.append(row)
+                    with _image_file(content) as f:
+                        made = package_page(package, f.name, own, psm) if package else program_page(program, f.name, own, psm)
+                    made["elapsed_s"] = round(time.monotonic() - began, 2)
+                rows.append(_row(path, n, **({"mean_conf": 0.0} | made)))
             yield pd.DataFrame(rows)
 
     return run
 
 
+def script_reports(images: DataFrame, binary: str = "tesseract", seconds: int = 30) -> DataFrame:
+    """path, report: what orientation and script detection prints of images (path, content); empty where it fails."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        program = shutil.which(binary)
+        for b in batches:
+            said = []
+            for content in b["content"]:
+                try:
+                    with _image_file(content) as f:
+                        done = subprocess.run([program, f.name, "stdout", "--psm", "0", "-l", "osd"], capture_output=True, text=True, timeout=seconds) if program else None
+                    said.append(done.stdout + "\n" + done.stderr if done else "")
+                except (OSError, subprocess.SubprocessError):
+                    said.append("")
+            yield pd.DataFrame({"path": b["path"], "report": said})
+
+    return images.select("path", "content").mapInPandas(run, "path string, report string")
+
+
 def parse_tsv(table: str) -> list[dict]:
     out = []
     for line in table.splitlines()[1:]:

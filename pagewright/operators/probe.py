@@ -144,3 +144,8 @@ def document_info(report: Str) -> Column:
     """Struct of pages, encrypted from a document report of ``Key: value`` lines."""
     pages = F.regexp_extract(_c(report), r"(?im)^pages:\s*(\d+)", 1).try_cast("int")
     return F.struct(pages.alias("pages"), _c(report).rlike(r"(?im)^encrypted:\s*yes").alias("encrypted"))
+
+
+def page_width(report: Str) -> Column:
+    """Width in points of the first page, from a document report; null if it doesn't say."""
+    return F.regexp_extract(_c(report), r"(?im)^[^\n]*page size[^\n\d]*([\d.]+)", 1).try_cast("double")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.codes import classify
 from pagewright.functions.text import Str, _c
-from pagewright.operators.probe import document_info, font_signals, mask_signals
+from pagewright.operators.probe import document_info, font_signals, mask_signals, page_width
 
 
 def files(spark: SparkSession, *paths: str, glob: str | None = None) -> DataFrame:
@@ -65,29 +65,70 @@ def _each(call):
     return run
 
 
-def text_layer(pdfs: DataFrame) -> DataFrame:
-    """path, text (pages parted by form feeds), error, of PDFs (path, content), as a text extractor gives them."""
+def _package():
+    """The PDF package, or None where it is missing or broken: then the programs are asked."""
+    try:
+        import fitz
+
+        return fitz if hasattr(fitz, "open") else None
+    except (ImportError, OSError):
+        return None
+
+
+def read_text(name: str) -> dict:
+    """text (a form feed after each page) and error of a PDF."""
+    if package := _package():
+        with package.open(name) as pdf:
+            return {"text": "".join(page.get_text("text") + "\f" for page in pdf), "error": None}
+    text, error = _run(["pdftotext", "-layout", name, "-"])
+    return {"text": text, "error": error}
 
-    def call(name: str, _: str) -> dict:
-        text, error = _run(["pdftotext", "-layout", name, "-"])
-        return {"text": text, "error": error}
 
-    return pdfs.select("path", "content").mapInPandas(_each(call), "path string, text string, error string")
+def read_info(name: str) -> str | None:
+    """A report of ``Key: value`` lines on a PDF: pages, whether encrypted, size of the first page."""
+    package = _package()
+    if package is None:
+        return _run(["pdfinfo", name])[0]
+    with package.open(name) as pdf:
+        size = None if pdf.needs_pass or not pdf.page_count else pdf[0].rect
+        lines = [f"Pages: {pdf.page_count}", f"Encrypted: {'yes' if pdf.needs_pass else 'no'}"]
+        return "\n".join([*lines, f"Page size: {size.width} x {size.height} pts"] if size else lines)
+
+
+def read_images(name: str, folder: str, dpi: int, wanted: list[int] | None) -> list[dict]:
+    """n, content (PNG) and error of a PDF's pages, those wanted or all."""
+    if package := _package():
+        with package.open(name) as pdf:
+            scale = package.Matrix(dpi / 72, dpi / 72)
+            found = {i: page.get_pixmap(matrix=scale).tobytes("png") for i, page in enumerate(pdf, 1) if not wanted or i in wanted}
+    else:
+        span = ["-f", str(min(wanted)), "-l", str(max(wanted))] if wanted else []
+        _, error = _run(["pdftoppm", "-png", "-r", str(dpi), *span, name, os.path.join(folder, "page")])
+        if error:
+            return [{"n": None, "content": None, "error": error}]
+        found = {int(f.stem.rpartition("-")[2]): f.read_bytes() for f in Path(folder).glob("page-*.png")}
+    return [{"n": n, "content": found.get(n), "error": None if n in found else "no such page"} for n in (wanted or sorted(found))]
+
+
+def text_layer(pdfs: DataFrame) -> DataFrame:
+    """path, text (pages parted by form feeds), error, of PDFs (path, content), as a text extractor gives them."""
+    return pdfs.select("path", "content").mapInPandas(_each(lambda name, _: read_text(name)), "path string, text string, error string")
 
 
 def signals(pdfs: DataFrame) -> DataFrame:
-    """path, pages, encrypted, total_fonts, non_unicode_fonts, image_count, smask_count of PDFs (path, content).
+    """path, pages, encrypted, width (points), total_fonts, non_unicode_fonts, image_count, smask_count of PDFs
+    (path, content).
 
     What a program does not tell, or a missing one, is null.
     """
 
     def call(name: str, _: str) -> dict:
-        return {k: _run(c)[0] for k, c in (("info", ["pdfinfo", name]), ("fonts", ["pdffonts", name]), ("images", ["pdfimages", "-list", name]))}
+        return {"info": read_info(name)} | {k: _run(c)[0] for k, c in (("fonts", ["pdffonts", name]), ("images", ["pdfimages", "-list", name]))}
 
     raw = pdfs.select("path", "content").mapInPandas(_each(call), "path string, info string, fonts string, images string")
     known = lambda c, parsed: F.when(F.col(c).isNotNull(), parsed)
-    got = raw.select("path", known("info", document_info("info")).alias("i"), known("fonts", font_signals("fonts")).alias("f"), known("images", mask_signals("images")).alias("m"))
-    return got.select("path", "i.*", "f.*", "m.*")
+    got = raw.select("path", page_width("info").alias("width"), known("info", document_info("info")).alias("i"), known("fonts", font_signals("fonts")).alias("f"), known("images", mask_signals("images")).alias("m"))
+    return got.select("path", "i.*", "width", "f.*", "m.*")
 
 
 def rendered(pdfs: DataFrame, dpi: Str = "dpi", pages: Str = "pages") -> DataFrame:
@@ -99,12 +140,7 @@ def rendered(pdfs: DataFrame, dpi: Str = "dpi", pages: Str = "pages") -> DataFra
                 want = None if want is None else [int(n) for n in want]
 
                 def call(name: str, d: str, at=at, want=want) -> list[dict]:
-                    span = ["-f", str(min(want)), "-l", str(max(want))] if want else []
-                    _, error = _run(["pdftoppm", "-png", "-r", str(int(at)), *span, name, os.path.join(d, "page")])
-                    if error:
-                        return [{"n": None, "content": None, "error": error}]
-                    found = {int(f.stem.rpartition("-")[2]): f.read_bytes() for f in Path(d).glob("page-*.png")}
-                    return [{"n": n, "content": found.get(n), "error": None if n in found else "no such page"} for n in (want or sorted(found))]
+                    return read_images(name, d, int(at), want)
 
                 yield from _each(call)(iter([pd.DataFrame({"path": [path], "content": [content]})]))
 

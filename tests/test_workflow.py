@@ -3,6 +3,7 @@
 import io
 import json
 import os
+from importlib.util import find_spec
 
 import pytest
 from pyspark.errors import PySparkException
@@ -114,6 +115,225 @@ def test_only_pages_for_an_engine_are_rendered(pages):
     assert got["bad.pdf", 2].text == "page 2" and got["good.pdf", 1].text == GOOD
 
 
+# --- what a result depends on -------------------------------------------------------------------------------------
+
+
+def scans(spark, content, modified="2024-01-01", **more):
+    return spark.createDataFrame([("scan.pdf", n, "", bytearray(f"{content} {n}".encode())) for n in (1, 2)], "path string, n int, text string, content binary").withColumns({"modified": F.lit(modified), "length": F.lit(len(content))} | more)
+
+
+def test_a_replaced_file_is_read_again(spark, tmp_path):
+    kept = Cache(spark, str(tmp_path / "cache"))
+    read = lambda df: {r.n: r.text for r in recognize(df, Options(engine="high"), cached=kept).collect()}
+    assert read(scans(spark, "old scan")) == {1: "old scan 1", 2: "old scan 2"}
+    assert read(scans(spark, "new scan")) == {1: "new scan 1", 2: "new scan 2"}
+
+    def render(content):
+        return lambda todo: todo.withColumn("content", F.encode(F.concat(F.lit(content), F.col("n").cast("string")), "utf-8"))
+
+    bare = lambda when, size: scans(spark, "x", when, length=F.lit(size)).drop("content")
+    for when, size, content, want in (("a", 1, "one", "one"), ("a", 1, "two", "one"), ("b", 1, "two", "two")):
+        got = recognize(bare(when, size), Options(engine="high"), cached=kept, render=render(content)).collect()
+        assert {r.text for r in got} == {f"{want}1", f"{want}2"}
+
+
+def test_settings_of_services_are_part_of_the_key(spark, tmp_path):
+    kept = Cache(spark, str(tmp_path / "cache"))
+    df, calls = scans(spark, "scan"), []
+    base = {"paddle_vl_server_url": "http://localhost:1", "paddle_vl_model": "a"}
+    for more in ({}, {"paddle_vl_model": "b"}, {"psm": 6}, {"paddle_vl_model": " a "}):
+        engines.register_engine("paddleocr-vl-mlx", reader(len(calls)), structured=True)
+        recognize(df, Options(engine="paddleocr-vl-mlx", **(base | more)), cached=kept).collect()
+        calls.append(kept.count())
+    assert calls == [2, 4, 6, 6]
+    vision = Options(engine="vision", vision_model="m", vision_url="u")
+    from pagewright.plans.recognize import engine_context
+
+    assert engine_context(vision) == engine_context(Options(engine="vision", vision_model=" m", vision_url="u ", vision_prompt=" \n"))
+    assert engine_context(vision) != engine_context(Options(engine="vision", vision_model="m", vision_url="u", vision_prompt="p"))
+    assert engine_context(Options(engine="tesseract", auto_escalate=("vision",))) and engine_context(Options(engine="tesseract", vision_model="m")) == ""
+
+
+def test_a_service_reads_a_document_as_one_page(spark, tmp_path):
+    read = reader(90)
+
+    def service(batches):
+        for b in read(batches):
+            yield b.assign(markdown=b["text"])
+
+    engines.register_engine("vision", service, structured=True)
+    kept = Cache(spark, str(tmp_path / "cache"))
+    for _ in range(2):
+        (r,) = recognize(scans(spark, "scan"), Options(engine="vision"), cached=kept).collect()
+        assert (r.n, r.source, r.mean_conf, r.flag, r.markdown) == (0, "vision", None, None, "## Page 1\n\nscan 1\n\n## Page 2\n\nscan 2") and r.text == r.markdown
+        assert kept.count() == 1
+        engines.register_engine("vision", reader(90, True), structured=True)
+    engines.register_engine("vision", service, structured=True)
+    got = recognize_images(scans(spark, "image").where("n = 1").select("path", "content"), Options(engine="vision")).collect()
+    assert [(r.n, r.text) for r in got] == [(0, "## Page 1\n\nimage 1")]
+    only = recognize(scans(spark, "scan"), Options(engine="vision", max_pages=1)).collect()
+    assert [(r.n, r.text) for r in only] == [(0, "## Page 1\n\nscan 1")]
+    engines._ENGINES.pop("vision")
+
+
+# --- what is done to a page before and while it is read ---------------------------------------------------------------
+
+
+@pytest.fixture
+def program(tmp_path):
+    """A recogniser that finds Cyrillic on pages that say so, and reads a page as the language it was asked for."""
+    path = tmp_path / "recogniser"
+    path.write_text('#!/bin/sh\ncase "$*" in *"-l osd"*) if grep -q cyrillic "$1"; then echo "Script: Cyrillic"; echo "Script confidence: 2.5"; fi;; *tsv) printf "h\\n1\\t1\\t1\\t1\\t1\\t1\\t5\\t6\\t7\\t8\\t91.5\\tword\\n";; *) echo "$4";; esac\n')
+    path.chmod(0o755)
+    return str(path)
+
+
+def test_language_is_found_on_the_first_page_of_each_file(spark, program, monkeypatch):
+    rows = [("a", 1, "", b"cyrillic"), ("a", 2, "", b"latin"), ("b", 2, "", b"cyrillic"), ("b", 1, "", b"latin")]
+    df = spark.createDataFrame([(p, n, t, bytearray(c)) for p, n, t, c in rows], "path string, n int, text string, content binary")
+    reports = engines.script_reports
+    monkeypatch.setattr(engines, "script_reports", lambda images: reports(images, program))
+    engines.register_engine("tesseract", engines.tesseract("eng", 3, program))
+    try:
+        got = {(r.path, r.n): r for r in recognize(df, Options()).collect()}
+        assert {k: r.text for k, r in got.items()} == {("a", 1): "rus+eng", ("a", 2): "rus+eng", ("b", 1): "eng", ("b", 2): "eng"}
+        r = got["a", 1]
+        assert (r.mean_conf, r.words[0].text, list(r.words[0].bbox)) == (91.5, "word", [5, 6, 7, 8]) and r.elapsed_s >= 0
+        assert {r.text for r in recognize(df, Options(lang="deu")).collect()} == {"deu"}
+        monkeypatch.setattr(engines, "script_reports", lambda images: reports(images, "/no/such/program"))
+        assert {r.text for r in recognize_images(df.where("n = 1").select("path", "content"), Options()).collect()} == {"eng"}
+    finally:
+        engines.register_engine("tesseract", engines.tesseract())
+
+
+def test_images_are_prepared_at_the_level_asked_for(spark, monkeypatch):
+    monkeypatch.setattr(preprocess, "preprocess", lambda content, level: F.concat(F.col(content), F.encode(F.concat(F.lit(" "), F.col(level)), "utf-8")))
+    df = scans(spark, "scan").where("n = 1")
+    read = lambda **o: recognize(df, Options(engine="high", **o)).first().text
+    best = "enhanced" if find_spec("cv2") else "basic"
+    assert [read(), read(preprocess="full"), read(preprocess="none")] == [f"scan 1 {best}", "scan 1 full", "scan 1"]
+    images = df.select("path", "content")
+    assert [recognize_images(images, Options(engine="high", preprocess=v)).first().text for v in ("auto", "basic")] == ["scan 1 none", "scan 1 basic"]
+    engines.register_engine("paddleocr-vl-mlx", reader(90), structured=True)
+    assert recognize(df, Options(engine="paddleocr-vl-mlx", preprocess="full")).first().text == "scan 1"
+    engines._ENGINES.pop("paddleocr-vl-mlx")
+
+
+def test_wide_pages_are_rendered_at_less(spark, monkeypatch):
+    monkeypatch.setattr(documents, "rendered", lambda df: df.select("path", F.explode("pages").alias("n"), F.encode(F.col("dpi").cast("string"), "utf-8").alias("content"), F.lit(None).cast("string").alias("error")))
+    files = spark.createDataFrame([(p, bytearray(b"x")) for p in "abcd"], "path string, content binary")
+    signals = spark.createDataFrame([("a", 595.0), ("b", 900.0), ("c", 1920.0)], "path string, width double")
+    todo = files.select("path", F.lit(1).alias("n"))
+    got = {r.path: r.content.decode() for r in cli._renderer(files, Options(), signals)(todo).collect()}
+    assert got == {"a": "300", "b": "200", "c": "150", "d": "300"}
+    assert {r.content.decode() for r in cli._renderer(files, Options(dpi=72), signals)(todo).collect()} == {"72"}
+    said = spark.createDataFrame([("Pages: 3\nPage size:      595.32 x 841.92 pts (A4)",), ("Page    1 size: 1920 x 1080 pts",), ("Pages: 1",), (None,)], "r string")
+    assert [r[0] for r in said.select(probe.page_width("r")).collect()][::2] == [595.32, None]
+
+
+class Pdf:
+    """A PDF package that knows one file."""
+
+    class Output:
+        DICT = "dict"
+
+    class Matrix:
+        def __init__(self, x, y):
+            self.x = x
+
+    page_count, needs_pass = 2, False
+
+    def __init__(self, texts=("one", "")):
+        self.texts = texts
+
+    def open(self, name):
+        return self
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *a):
+        pass
+
+    def __iter__(self):
+        return iter([Page(t) for t in self.texts])
+
+    def __getitem__(self, i):
+        return Page(self.texts[i])
+
+
+class Page:
+    def __init__(self, text):
+        self.text = text
+        self.rect = type("R", (), {"width": 900.0, "height": 500.0})()
+
+    def get_text(self, kind):
+        return self.text
+
+    def get_pixmap(self, matrix):
+        return type("P", (), {"tobytes": lambda own, kind: f"{self.text}@{matrix.x * 72:.0f}".encode()})()
+
+
+def test_the_pdf_package_is_asked_before_the_programs(spark, monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "fitz", Pdf())
+    text = documents.read_text("x.pdf")
+    assert text == {"text": "one\f\f", "error": None}
+    pages = documents.split_pages(spark.createDataFrame([("x", text["text"])], "path string, text string"))
+    assert sorted((r.n, r.text) for r in pages.collect()) == [(1, "one"), (2, "")]
+    assert documents.read_images("x.pdf", "", 144, [1]) == [{"n": 1, "content": b"one@144", "error": None}]
+    assert [r["error"] for r in documents.read_images("x.pdf", "", 144, [2, 3])] == [None, "no such page"]
+    info = spark.createDataFrame([(documents.read_info("x.pdf"),)], "r string").select(probe.document_info("r").alias("i"), probe.page_width("r").alias("w")).first()
+    assert (info.i.pages, info.i.encrypted, info.w) == (2, False, 900.0)
+    monkeypatch.setitem(sys.modules, "fitz", None)  # a package that can't be imported
+    monkeypatch.setattr(documents, "_run", lambda call: ("by program", None))
+    assert documents.read_text("x.pdf")["text"] == documents.read_info("x.pdf") == "by program"
+
+
+class Recogniser:
+    class Output:
+        DICT = "dict"
+
+    def __init__(self, **pages):
+        self.pages, self.asked = pages, []
+
+    def image_to_data(self, name, lang, config, output_type):
+        self.asked.append((lang, config))
+        words = self.pages[lang.replace("+", "_")]
+        return {"text": [w for w, _ in words], "conf": [str(c) for _, c in words], **dict.fromkeys(("left", "top", "width", "height"), [1] * len(words))}
+
+    def image_to_string(self, name, lang, config):
+        return lang
+
+
+@pytest.mark.parametrize(
+    "lang, eng, both, want, mean",
+    [
+        ("eng", [("a", 60)], [("a", 60), ("b", 20)], "rus+eng", 40.0),  # more words
+        ("eng", [("a", 60)], [("a", 66)], "rus+eng", 66.0),  # surer by more than five points
+        ("eng", [("a", 60)], [("a", 65)], "eng", 60.0),
+        ("eng", [], [], "eng", 0.0),
+        ("eng", [("a", 60), (" ", 90), ("b", -1)], [("a", 61)], "eng", 60.0),  # blanks and -1 are no words
+        ("deu", [("a", 60)], [("a", 99), ("b", 99)], "deu", 60.0),
+    ],
+)
+def test_english_pages_are_read_again_as_russian_and_english(lang, eng, both, want, mean):
+    package = Recogniser(eng=eng, deu=eng, rus_eng=both)
+    got = engines.package_page(package, "x.png", lang, 6)
+    assert (got["text"], got["mean_conf"]) == (want, mean)
+    assert package.asked == [(x, "--oem 3 --psm 6") for x in ((lang, "rus+eng") if lang == "eng" else (lang,))]
+
+
+def test_lines_are_read_by_a_model_of_their_language():
+    import pandas as pd
+
+    loaded = []
+    run = engines._adapter(lambda model, path, n, content: {"text": model}, lambda lang: loaded.append(lang) or lang, engines.line_lang)
+    got = list(run(iter([pd.DataFrame({"path": "x", "n": range(5), "content": b"", "lang": ["rus+eng", "RUS", None, "chi_sim", "xyz"]})])))
+    assert got[0]["text"].tolist() == ["ru", "ru", "en", "ch", "en"] and loaded == ["ru", "en", "ch"]
+
+
 # --- requirements -----------------------------------------------------------------------------------------------
 
 
