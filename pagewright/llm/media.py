@@ -53,7 +53,7 @@ def decode(media: DataFrame, id_column: str = "media_id", content: str = "conten
 
 
 #: Samples that a few of a vector's values make, the values, and the pitches that they are the strengths of.
-WAVE, VALUES, PITCHES = 32, 8, (0.05, 0.11, 0.23, 0.41)
+WAVE, VALUES, PITCHES = 16, 8, (0.05, 0.11, 0.23, 0.41)
 
 
 def waves(vectors: np.ndarray) -> np.ndarray:

@@ -66,10 +66,10 @@ def test_each_decision_takes_effect(stages, spark, sf_dir):
     assert ids(after) == sorted(r.doc_id for r in before.collect() if not holds(r.text))
 
     before, after = stages["mixing"]
-    assert ids(after) == ids(mixing.mix(before)) and set(ids(after)) == set(ids(before))
+    assert ids(after) == ids(mixing.mix(before, weights=mixing.TARGETS, rest=mixing.REST)) and set(ids(after)) == set(ids(before))
 
     before, after = stages["sharding"]
-    want = {(r.doc_id, r.shard_id) for r in sharding.shard(before).collect()}
+    want = {(r.doc_id, r.shard_id) for r in sharding.shard(before, key=sharding.CORPUS_KEY).collect()}
     assert {(r.doc_id, r.shard_id) for r in after.collect()} == want and ids(after) == ids(before)
 
 
@@ -83,3 +83,18 @@ def test_empty_documents(spark, sf_dir):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, sf_dir)
         assert docs.collect() == []
+
+
+def test_null_empty_and_repeated_rows(spark, sf_dir):
+    """What each stage's docstring says of them, one stage after the other."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    clean = "a plain note of nothing in particular that nobody else has written"
+    odd = [(-1, None, "en", "src1", 0), (-2, "", None, None, 0), (-3, "... !", "en", None, 5), (None, None, None, None, None), (-4, clean, "en", "src1", 9), (-4, clean, "en", "src1", 9), (-5, clean, "de", "src2", 9), (None, clean, "en", "src1", 9)]
+    docs = docs.where("doc_id >= 100").unionByName(spark.createDataFrame(odd, docs.schema))
+    of = lambda df: sorted(((r.doc_id, r.text) for r in df.where("doc_id < 0 OR doc_id IS NULL").collect()), key=str)
+    want = of(docs)
+    for name, stage in P.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name == "near_duplicates":
+            want = sorted([(-1, None), (-2, ""), (-3, "... !"), (None, None), (-5, clean), (None, clean)], key=str)
+        assert (set(of(docs)) if name in ("mixing", "sharding") else of(docs)) == (set(want) if name in ("mixing", "sharding") else want)
