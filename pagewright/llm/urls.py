@@ -7,8 +7,8 @@ likelihoods a character; the filter's threshold is calibrated on URLs held out o
 
 Counts are of every URL of the table and are kept exactly, a row a context; the model grows with the corpus and is
 never in one place. URLs are written in blocks of some hundred thousand characters; each block names the contexts
-that occur in it, their counts are summed over all blocks in one shuffle, and each block gets back those it named.
-Nothing is broadcast or sent to the driver but two counts and a threshold.
+that occur in it, their counts are summed over all blocks, and each block gets back those it named. Nothing is
+broadcast but a bounded number of contexts that very many blocks name, nor sent to the driver but counts and a threshold.
 """
 
 from __future__ import annotations
@@ -22,13 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.window import Window
 
 from . import arrowtext as T
 from .common import written
 
 ORDER, STRENGTH, KEPT = 5, 4.0, 0.99
 BLOCK_BYTES = 1 << 18
+#: A context of so many blocks is hot; as many contexts at most are treated as hot.
+HOT_BLOCKS, HOT_CONTEXTS = 1000, 100_000
 GROUPS = ("n0", "n1", "n2", "n3")
 #: Hosts that hold one of these are the rejected examples of the query.
 REJECT_TERMS = ("spam", "pills", "casino", "ads-track", "free-bets", "adult")
@@ -120,6 +121,20 @@ def _scores(key: pa.DataType):
     return run
 
 
+def _given_back(named: DataFrame) -> DataFrame:
+    """(block, h) with the sums of the counts of h over all blocks.
+
+    Sums are combined before they are shuffled. Short contexts occur in every block; those that occur in very many are
+    few by the number of rows there are, so they are broadcast, and the rest are joined by shuffle.
+    """
+    sums = written(named.groupBy("h").agg(*(F.sum(g).alias(g) for g in GROUPS), F.count("*").alias("blocks")), "url-counts")
+    many = max(HOT_BLOCKS, (sums.agg(F.sum("blocks")).first()[0] or 0) // HOT_CONTEXTS)
+    hot = F.broadcast(sums.where(F.col("blocks") > many).drop("blocks"))
+    rest = sums.where(F.col("blocks") <= many).drop("blocks")
+    mine = named.select("block", "h")
+    return mine.join(hot, "h").unionByName(mine.join(hot.select("h"), "h", "left_anti").join(rest, "h"))
+
+
 def filter_urls(df: DataFrame, rejected: Column, url: str = "url", id_column: str = "page_id", kept: float = KEPT) -> DataFrame:
     """page_id, url, ``score`` (log likelihood of accepted over rejected, a character) and ``keep``, a row of df each.
 
@@ -138,8 +153,7 @@ def filter_urls(df: DataFrame, rejected: Column, url: str = "url", id_column: st
     kind = f"page_id {key.simpleString()}, url string, g byte"
     placed = written(rows.where("url is not null").mapInArrow(_place, f"{kind}, block long"), "url-blocks")
     named = placed.select("url", "g", "block").mapInArrow(_contexts, "block long, h long, " + ", ".join(f"{g} long" for g in GROUPS))
-    over = Window.partitionBy("h")
-    counts = named.select("block", "h", *(F.sum(g).over(over).alias(g) for g in GROUPS))
+    counts = _given_back(written(named, "url-contexts"))
     scored = placed.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_scores(to_arrow_type(key)), f"{kind}, score double, trial double")
     scored = written(scored, "url-scores")
     low = F.percentile_approx(F.when(F.col("g") == 1, F.col("trial")), F.lit(1 - kept), F.lit(10_000))

@@ -73,6 +73,15 @@ def test_blocks_make_no_difference(spark):
     assert one == pytest.approx({x.page_id: (a.log(x.url) - b.log(x.url)) / (len(x.url) + 1) for x in df.collect()})
 
 
+def test_hot_contexts_are_counted_like_others(spark, monkeypatch):
+    r = random.Random(13)
+    df = spark.createDataFrame([(i, made(r, i % 5 == 0)) for i in range(300)], "page_id long, url string").repartition(9)
+    want = {x.page_id: x.score for x in U.filter_urls(df, U.seed_rejects()).collect()}
+    for most in (0, 3):  # all are hot, and those of more than three blocks
+        monkeypatch.setattr(U, "HOT_BLOCKS", most)
+        assert {x.page_id: x.score for x in U.filter_urls(df, U.seed_rejects()).collect()} == pytest.approx(want)
+
+
 def test_blocks_that_span_batches(spark):
     r = random.Random(11)
     df = spark.createDataFrame([(i, made(r, i % 5 == 0)) for i in range(400)], "page_id long, url string").repartition(9).cache()
