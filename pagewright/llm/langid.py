@@ -69,6 +69,7 @@ def _count(langs: list[str]):
 
                 key, first, times = np.unique(w.hash + lang.astype(np.uint64), return_index=True, return_counts=True)
                 add(0, lang[first], w.hash[first], times)
+                add(-1, np.unique(lang), np.zeros(len(np.unique(lang)), np.uint64))  # that there are words
                 for n in range(1, LONGEST + 1):
                     h, owner = _grams(w, chars, first, n)
                     add(n, lang[first][owner], h, times[owner])
@@ -126,20 +127,26 @@ class Languages:
 
 
 def fit(docs: DataFrame, lang: str = "lang", id_column: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS, least: int = LEAST) -> Languages:
-    """Fitted on about ``train_rows`` documents of known language at most, picked by a hash of the id.
+    """Fitted on about ``train_rows`` documents of known language at most, as many of each language or all that it has,
+    picked by a hash of the id.
 
-    A word or n-gram is known if it occurs ``least`` times in them. Frequencies are smoothed by a half.
+    A word or n-gram is known if it occurs ``least`` times in them. Frequencies are smoothed by a half. A language whose
+    sample has no words is left out.
     """
     marked = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"), F.col(id_column).alias("i"))
     groups = marked.groupBy("l").count().collect()  # a row a language
-    langs, n = sorted(r.l for r in groups), sum(r["count"] for r in groups)
-    share = train_rows / max(train_rows, n)
-    picked = marked.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    langs = sorted(r.l for r in groups)
+    share = {r.l: min(1.0, train_rows / len(groups) / r["count"]) for r in groups}
+    most = F.create_map(*(F.lit(x) for kv in share.items() for x in (kv[0], int(kv[1] * (1 << 30))))) if share else F.create_map().cast("map<string,int>")
+    picked = marked.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < F.try_element_at(most, F.col("l")))
     counts = picked.select("t", "l").mapInArrow(_count(langs), "kind byte, lang short, h long, n long").groupBy("kind", "lang", "h").agg(F.sum("n").alias("n"))
     # bounded: the sample is
-    rows = counts.withColumn("all", F.sum("n").over(Window.partitionBy("kind", "h"))).where(F.col("all") >= least).select("kind", "lang", "h", "n").toArrow()
+    rows = counts.withColumn("all", F.sum("n").over(Window.partitionBy("kind", "h"))).where((F.col("all") >= least) | (F.col("kind") < 0)).select("kind", "lang", "h", "n").toArrow()
     kind, tongue, h, c = (rows.column(i).to_numpy() for i in range(4))
-    keys, logs = [], []
+    live = np.isin(np.arange(len(langs)), tongue[kind < 0])
+    kept = live[tongue]
+    kind, tongue, h, c = kind[kept], (np.cumsum(live) - 1)[tongue[kept]], h[kept], c[kept]
+    langs, keys, logs = [x for x, there in zip(langs, live) if there], [], []
     for k in range(LONGEST + 1):
         mine = kind == k
         key, inverse = np.unique(h[mine].view(np.uint64), return_inverse=True)
@@ -176,7 +183,8 @@ def languages(docs: DataFrame, lang: str = "lang", id_column: str = "doc_id", te
     them are ``known``, for every row of docs.
 
     Languages that tie give the first in order of name. Null and wordless texts have no language and no margin;
-    so has everything where no document of known language is there to learn from. Repeated rows and null ids are
+    so has everything where no document of known language is there to learn from. What occurs under ``least`` times in
+    the sample is not known, and is scored by shorter n-grams like other unseen words. Repeated rows and null ids are
     scored like others; whole texts count. An empty df gives an empty result.
     """
     model = fit(docs, lang, id_column, text, **options)

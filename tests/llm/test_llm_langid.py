@@ -1,5 +1,6 @@
 import math
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 import pytest
@@ -36,6 +37,7 @@ class Brute:
             sums = {lang: sum(t[lang][x] for x in known) for lang in self.names}
             self.logs.append({x: [math.log((t[lang][x] + 0.5) / (sums[lang] + 0.5 * max(1, len(known)))) for lang in self.names] for x in known})
 
+    @lru_cache(None)  # noqa: B019
     def word(self, w):
         if w in self.logs[0]:
             return self.logs[0][w]
@@ -64,6 +66,31 @@ def test_equals_brute_force(load):
         assert count[i] == len(words(t)) and known[i] == sum(w in brute.logs[0] for w in words(t))
 
 
+def test_the_whole_query_against_brute_force(load):
+    docs = load("documents")
+    rows = docs.collect()
+    brute = Brute([(r.text, r.lang) for r in rows if r.lang is not None and r.text is not None], L.LEAST)
+    got = {r.doc_id: r for r in L.languages(docs).collect()}
+    assert len(got) == len(rows) < L.TRAIN_ROWS / len(brute.names)  # the sample is all
+    for r in rows:
+        w, score, g = words(r.text), brute.score(r.text), got[r.doc_id]
+        assert (g.words, g.known) == (len(w), sum(x in brute.logs[0] for x in w))
+        if w:
+            first, second = sorted(score, reverse=True)[:2]
+            assert g.margin == pytest.approx((first - second) / len(w), rel=1e-3, abs=1e-4)
+            assert score[brute.names.index(g.lang)] == pytest.approx(first, rel=1e-5)
+        else:
+            assert g.lang is g.margin is None
+
+
+def test_each_language_has_its_share_of_the_sample(spark):
+    rows = [(i, f"common words of the large language number {i % 50}", "big") for i in range(4000)] + [(9000 + i, "kleine Sprache mit eigenen Worten", "small") for i in range(12)] + [(9998, "hapax legomenon", "once"), (9999, "...", "wordless")]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_rows=300)
+    assert model.names == ["big", "once", "small"]
+    score, _, known = model.score(pa.array(["eigenen Worten mit", "large language"]))
+    assert known.tolist() == [3, 2] and score.argmax(axis=1).tolist() == [2, 0]
+
+
 def test_held_out_accuracy(load):
     docs = load("documents", "/root/testdata/sf0.01")
     train = docs.where("doc_id % 4 = 0")
