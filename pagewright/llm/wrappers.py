@@ -7,13 +7,15 @@ has no partner becomes an optional node. Each slot of a skeleton is thereby a sl
 
 A piece belongs to the template if its own text stands in its wrapper slot on at least ``SHARE`` of the host's pages,
 counted exactly; all else is content, also in a slot that holds template pieces on other pages. Counting is plain
-aggregation, so a host may have any number of pages; only skeletons of one host meet in one Python call.
+aggregation, so a host may have any number of pages; its skeletons are folded some hundred at a time, and the wrappers
+that they make in turn.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +29,8 @@ from .common import small, written
 from .urls import host
 
 DEPTH, SHARE = 100, 0.5
-#: Cells of an alignment's table that may be held.
-CELLS = 1 << 22
+#: Cells of an alignment's table that may be held; skeletons of a host that meet in one call.
+CELLS, MEET = 1 << 22, 512
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)([^>]*)>", re.S)
 _CLASS = re.compile(r"""(?:class|id)\s*=\s*["']?\s*([A-Za-z_][\w-]*)""", re.I)
 _VOID = frozenset("area base col embed hr img input link meta param source track wbr".split())
@@ -46,9 +48,12 @@ class Node:
 
 
 def parse(html: str) -> tuple[Node, list[Node]]:
-    """The body's tree and its text nodes in order. Nesting beyond DEPTH is flattened; hidden elements are left out."""
+    """The body's tree and its text nodes in order; hidden elements are left out.
+
+    What is nested beyond DEPTH hangs on its ancestor at that depth; such elements are open and end like others.
+    """
     root = Node("")
-    stack, texts, at, hidden = [root], [], 0, 0
+    stack, tags, open_, texts, at, hidden = [root], [""], Counter(), [], 0, 0
 
     def say(piece: str) -> None:
         piece = entities.unescape(piece) if "&" in piece else piece
@@ -62,6 +67,11 @@ def parse(html: str) -> tuple[Node, list[Node]]:
                 stack[-1].children.append(node)
                 texts.append(node)
 
+    def cut(i: int) -> None:
+        """End the elements from the i-th open one."""
+        open_.subtract(tags[i:])
+        del stack[i:], tags[i:]
+
     depth_of_hidden = []
     pos, end = 0, len(html)
     while True:
@@ -80,11 +90,8 @@ def parse(html: str) -> tuple[Node, list[Node]]:
                 if depth_of_hidden and depth_of_hidden[-1] == name:
                     depth_of_hidden.pop()
                     hidden = len(depth_of_hidden)
-            elif not hidden:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].label.partition(".")[0] == name:
-                        del stack[i:]
-                        break
+            elif not hidden and open_[name] > 0:
+                cut(max(i for i in range(len(tags)) if tags[i] == name) if tags[-1] != name else len(tags) - 1)
             continue
         if name == "body":
             depth_of_hidden, hidden = [], 0  # an unclosed head ends here
@@ -102,30 +109,33 @@ def parse(html: str) -> tuple[Node, list[Node]]:
         close = _CLOSES.get(name)
         if close:
             for i in range(len(stack) - 1, 0, -1):
-                tag = stack[i].label.partition(".")[0]
+                tag = tags[i]
                 if tag in close:
-                    del stack[i:]
+                    cut(i)
                     break
                 if tag in _BLOCK and tag != "p" or tag in ("li", "td", "th"):
                     break
         attributes = m.group(3)
         found = _CLASS.search(attributes) if attributes else None
-        if len(stack) > DEPTH or attributes.endswith("/"):
+        if attributes.endswith("/"):
             continue
-        node = Node(f"{name}.{found.group(1)}" if found else name)
-        stack[-1].children.append(node)
-        stack.append(node)
+        if len(stack) > DEPTH:
+            stack.append(stack[-1])
+        else:
+            stack.append(Node(f"{name}.{found.group(1)}" if found else name))
+            stack[-2].children.append(stack[-1])
+        tags.append(name)
+        open_[name] += 1
     if at < end:
         say(html[at:])
     return root, texts
 
 
-def skeleton(html: str) -> tuple[str, list[int], list[str]]:
-    """The tree, the slots of its text nodes and their texts, in order."""
-    root, texts = parse(html)
+def spelt(root: Node | Tree) -> str:
+    """A tree as text, which ``read`` reads."""
     out: list[str] = []
 
-    def say(node: Node) -> None:
+    def say(node) -> None:
         out.append(node.label)
         for i, c in enumerate(node.children):
             out.append("," if i else "(")
@@ -134,7 +144,13 @@ def skeleton(html: str) -> tuple[str, list[int], list[str]]:
             out.append(")")
 
     say(root)
-    return "".join(out), list(range(len(texts))), [t.text for t in texts]
+    return "".join(out)
+
+
+def skeleton(html: str) -> tuple[str, list[int], list[str]]:
+    """The tree, the slots of its text nodes and their texts, in order."""
+    root, texts = parse(html)
+    return spelt(root), list(range(len(texts))), [t.text for t in texts]
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,18 +298,59 @@ def _added(page: Tree, free: list[int], to: dict[int, int]) -> Tree:
 
 def induce(trees: list[str]) -> list[dict[int, int]]:
     """For each skeleton of a host, its slots' slots in the wrapper that the skeletons make, in the order given."""
+    return _folded(trees)[1]
+
+
+def _folded(trees: list[str]) -> tuple[Tree, list[dict[int, int]]]:
     wrapper, free, memo, out = None, [0], {}, []
     for text in trees:
         page, to = read(text), {}
         wrapper = _added(page, free, to) if wrapper is None else merge(wrapper, page, memo, free, to)
         out.append(to)
-    return out
+    return wrapper, out
+
+
+def _slots(tree: Tree) -> Iterator[int]:
+    if tree.label == "#":
+        yield tree.slot
+    for c in tree.children:
+        yield from _slots(c)
+
 
+def _induced(trees: pd.DataFrame) -> pd.DataFrame:
+    """A wrapper of some skeletons or wrappers of a host, and for each of them its slots' slots, numbered in order."""
+    order = trees.sort_values(["pages", "tree"], ascending=[False, True])
+    wrapper, maps = _folded(order["tree"].tolist())
+    place = {s: i for i, s in enumerate(_slots(wrapper))}
+    whole = lambda v: pd.array(v, "Int64")
+    made = pd.DataFrame({"_h": order["h"], "_s": order["name"], "to": [[place[m[k]] for k in range(len(m))] for m in maps], "up": whole(order["part"]), "pages": whole([None] * len(order)), "tree": None})
+    head = pd.DataFrame({"_h": order["h"].iloc[:1], "_s": order["part"].iloc[:1], "to": [None], "up": whole([None]), "pages": whole([order["pages"].sum()]), "tree": [spelt(wrapper)]})
+    return pd.concat((made, head))
 
-def _induced(skeletons: pd.DataFrame) -> pd.DataFrame:
-    order = skeletons.sort_values(["pages", "tree"], ascending=[False, True])
-    to = [[w[k] for k in range(len(w))] for w in induce(order["tree"].tolist())]
-    return pd.DataFrame({"_h": order["h"].tolist(), "_s": order["skeleton"].tolist(), "to": to})
+
+def _wrapped(skeletons: DataFrame) -> DataFrame:
+    """(_h, _s, to), written: the slots of each host's skeletons (h, skeleton, tree, pages) in the host's wrapper.
+
+    At most some ``MEET`` skeletons meet in a call. A host of more has them spread over several, whose wrappers are
+    folded in turn, until there is one.
+    """
+    now = skeletons.select("h", F.col("skeleton").alias("name"), "tree", "pages")
+    levels = []
+    while True:
+        number = now.groupBy(F.col("h").alias("_h")).agg(F.ceil(F.count("*") / F.lit(MEET)).alias("parts"))
+        parted = now.join(number, F.col("h") == F.col("_h")).select("h", "name", "tree", "pages", F.pmod(F.xxhash64("name", F.lit(len(levels))), F.col("parts")).alias("part"))
+        made = written(parted.groupBy("h", "part").applyInPandas(_induced, "_h string, _s long, to array<int>, up long, pages long, tree string"), "wrapper-folds")
+        levels.append(made.where("up is not null").select("_h", "_s", "to", "up"))
+        heads = made.where("up is null").select(F.col("_h").alias("h"), F.col("_s").alias("name"), "tree", "pages")
+        if heads.groupBy("h").count().where("count > 1").isEmpty():
+            break
+        now = heads  # hosts of one wrapper already are folded again into themselves
+    out = levels[0]
+    for above in levels[1:]:
+        above = above.select(F.col("_h").alias("_ah"), F.col("_s").alias("_as"), F.col("to").alias("_at"), F.col("up").alias("_up"))
+        out = out.join(above, (F.col("_h") == F.col("_ah")) & (F.col("up") == F.col("_as")))
+        out = out.select("_h", "_s", F.expr("transform(to, i -> _at[i])").alias("to"), F.col("_up").alias("up"))
+    return written(out.select("_h", "_s", "to"), "wrapper-slots")
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html", share: float = SHARE) -> DataFrame:
@@ -301,8 +358,10 @@ def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", html
 
     Pieces are joined by line feeds in page order. The pages of a URL's host, lower-cased, make one wrapper; those
     without one, null URLs among them, are together a host of their own. A piece is template if at least ``share`` of
-    the host's pages that hold text, and two of them, have it in the same slot. A host's only page has no template: all of it is content. Null HTML gives null content and no counts; empty HTML gives an empty content. Malformed HTML
-    is read as far as it goes, whole, and pages of any length are. Repeated pages are pages: what recurs by them
+    the host's pages that hold text, and two of them, have it in the same slot; the count is exact, and just that share
+    is enough. Where two alignments pair as many nodes, the one that pairs later siblings is taken. A host's only page
+    has no template: all of it is content. Null HTML gives null content and no counts; empty HTML gives an empty
+    content. Malformed HTML is read as far as it goes, whole, and pages of any length and nesting are. Repeated pages are pages: what recurs by them
     counts as recurring. An empty df gives an empty result; other columns are not read.
     """
     keyed = pages.select(F.coalesce(host(url), F.lit("")).alias("h"), F.struct(F.col(id_column).alias("page_id"), F.col(url).alias("url")).alias("key"), F.col(html).cast(StringType()).alias("html"))
@@ -311,8 +370,7 @@ def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", html
     parsed = written(parsed.withColumn("skeleton", F.xxhash64("tree")), "wrapper-pages")
     seen = parsed.where(F.size("texts") > 0)
     skeletons = written(seen.groupBy("h", "skeleton").agg(F.min("tree").alias("tree"), F.count("*").alias("pages")), "wrapper-skeletons")
-    slots = skeletons.groupBy("h").applyInPandas(_induced, "_h string, _s long, to array<int>")
-    slots = small(written(slots, "wrapper-slots"))
+    slots = small(_wrapped(skeletons))
     placed = lambda df: df.join(slots, (F.col("h") == F.col("_h")) & (F.col("skeleton") == F.col("_s")), "left").drop("_h", "_s")
     marked = F.zip_with(F.coalesce("to", F.array().cast("array<int>")), "texts", lambda w, t: F.struct(F.xxhash64(w, t).alias("mark"), t.alias("text")))
     pages = skeletons.groupBy("h").agg(F.sum("pages").alias("pages"))

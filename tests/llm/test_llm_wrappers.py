@@ -1,4 +1,8 @@
 import random
+import re
+from collections import Counter
+
+import pytest
 
 from pagewright.llm import wrappers as W
 
@@ -91,6 +95,58 @@ def test_every_visible_text_is_content_or_template(load):
         assert all(x in left for x in rows[p.page_id].content.split("\n") if x)  # in page order
 
 
+def test_elements_nested_too_deep_end_like_others():
+    html = "<div class=main>" + "<div>" * 150 + "deep" + "</div>" * 150 + "<span>inside</span></div><span>outside</span>"
+    root, texts = W.parse(html)
+    assert [t.text for t in texts] == ["deep", "inside", "outside"]
+    main, after = root.children
+    assert (main.label, after.label) == ("div.main", "span") and main.children[-1].label == "span"
+    depth = lambda n: 1 + max(map(depth, n.children), default=0)
+    assert depth(root) <= W.DEPTH + 2
+    unended = "<b>" * 300 + "x" + "</i>" * 300 + "</b>" * 299 + "y</b>z"
+    assert [t.text for t in W.parse(unended)[1]] == ["x", "y", "z"] and W.parse(unended)[0].children[-1].text == "z"
+
+
+def by_brute_force(pages):
+    """Contents by the rule: the wrapper's slots, and how many pages have a text in one of them."""
+    hosts, out = {}, {}
+    for p in pages:
+        found = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", p.url or "")
+        hosts.setdefault(found.group(1).lower() if found else "", []).append((p.page_id, *W.skeleton(p.html)))
+    for own in hosts.values():
+        times = Counter(tree for _, tree, _, texts in own if texts)
+        order = sorted(times, key=lambda t: (-times[t], t))
+        slots = dict(zip(order, W.induce(order)))
+        seen = Counter(x for _, tree, at, texts in own if texts for x in {(slots[tree][k], t) for k, t in zip(at, texts)})
+        n = sum(times.values())
+        for page, tree, at, texts in own:
+            out[page] = "\n".join(t for k, t in zip(at, texts) if not (seen[slots[tree][k], t] > 1 and seen[slots[tree][k], t] >= W.SHARE * n))
+    return out
+
+
+@pytest.mark.parametrize("d", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_the_whole_query_against_brute_force(load, d):
+    pages = load("pages", d)
+    assert {r.page_id: r.content for r in W.extract(pages).collect()} == by_brute_force(pages.collect())
+
+
+def test_skeletons_of_a_large_host_are_folded_in_turn(spark, monkeypatch):
+    """In several rounds, which find what one would."""
+    rows = [(i, f"http://big.example/{i}", page(f"Title {i}", [f"text {i} {k}" for k in range(1 + i % 37)])) for i in range(150)]
+    rows += [(1000 + i, f"http://one.example/{i}", page(f"T {i}", ["x"])) for i in range(3)] + [(2000 + i, None, f"<p>no host {i}</p><p>All alike</p>") for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {r.page_id: r.content for r in W.extract(df).collect()}
+    assert want[7] == "\n".join(["Title 7", *(f"text 7 {k}" for k in range(8))])
+    monkeypatch.setattr(W, "MEET", 4)
+    assert {r.page_id: r.content for r in W.extract(df).collect()} == want
+
+
+def test_just_the_share_is_template(spark):
+    rows = [(i, f"http://a.example/{i}", f"<p>{'Notice' if i < 5 else 'other'} </p><div>{i}</div>") for i in range(10)] + [(100 + i, f"http://b.example/{i}", f"<p>{'Notice' if i < 5 else f'other {i}'}</p>") for i in range(11)]
+    got = {r.page_id: r.content for r in W.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == str(i) for i in range(10)) and all(got[100 + i] == "Notice" for i in range(5))
+
+
 def test_odd_rows(spark):
     rows = [(1, "http://a.example/1", None), (2, None, "<p>no url</p>"), (2, None, "<p>no url</p>"), (None, "http://a.example/2", ""), (3, "http://b.example/", "<p>only page"), (4, "http://c.example/", "<div>" * 5000 + "deep" + "</div>" * 5000), (5, "http://d.example/", "<p>" + "word " * 400_000), (6, "http://e.example/", "<<>></ <p <b>x</b"), (7, "nonsense", "plain text")]
     df = spark.createDataFrame([(*r, "mine", "mine") for r in rows], "page_id long, url string, html string, content string, h string")
