@@ -2,10 +2,12 @@
 
 Test items are short and documents long, so the Jaccard similarity of the two says nothing. Items are therefore
 partitioned by their number of shingles into classes (2^(m-1), 2^m], and for each class a document is read as
-windows of 2^(m+1) shingles at steps of 2^m: an item that occurs lies whole in some window of its own scale, where
-its Jaccard similarity is at least a quarter. Item and window are signed with the same ``hashes`` minima; one equal
-minimum makes a candidate. A minimum names a run of words, so a match by chance is rare and one row a band is
-right: at similarity 1/4, 24 of them miss 1 item in 1,000.
+windows of 2^(m+1) shingles at steps of 2^m: an item that occurs lies whole in some window of its own scale. Item and
+window are signed with the same ``hashes`` minima; one equal minimum makes a candidate. A minimum names a run of words,
+so a match by chance is rare and one row a band is right. A whole item is at least a quarter of what it and its window
+hold, so 48 minima miss 1 of a million; of an item of which one stretch occurs, just as much as ``containment`` asks, the
+similarity is at least 0.136, and they miss 1 of 1,000. Pieces that lie further apart than a window add to containment
+once the item is a candidate, but each window has to find it by its own share, for which there is no such bound.
 
 Windows of all classes are unions of the same aligned blocks, so each hash function is computed once a shingle.
 Each candidate is verified with the document's and the item's whole shingle sets.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import arrowtext as T
 
-SHINGLE, CONTAINMENT, HASHES = 5, 0.6, 24
+SHINGLE, CONTAINMENT, HASHES = 5, 0.6, 48
 PASS_BYTES = 16 << 20
 
 _A = np.random.default_rng(20).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
