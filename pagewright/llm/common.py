@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +32,30 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is ``written`` within is deleted at the end: results have to be stored elsewhere before. Without it,
+    written tables stay in the shared folder, as a result that has not been read yet may need them."""
+    path = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    token = _scratch.set(path)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        delete(spark, path)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder: computed once, lineage cut, safe when an executor is lost."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{(_scratch.get() or shared_dir(df.sparkSession)).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

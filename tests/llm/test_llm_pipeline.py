@@ -73,9 +73,17 @@ def test_each_decision_takes_effect(stages, spark, sf_dir):
     assert {(r.doc_id, r.shard_id) for r in after.collect()} == want and ids(after) == ids(before)
 
 
-def test_run_gives_the_last_stage(stages, spark, sf_dir):
+def test_run_gives_the_last_stage_and_leaves_nothing_else(stages, spark, sf_dir, tmp_path):
     key = lambda r: (r.doc_id, r.range_id, r.shard_id)
-    assert sorted(map(key, P.run(spark, sf_dir).collect())) == sorted(map(key, stages["sharding"][1].collect()))
+    was = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        got = P.run(spark, sf_dir)
+    finally:
+        spark.conf.set("spark.checkpoint.dir", was)
+    assert sorted(map(key, got.collect())) == sorted(map(key, stages["sharding"][1].collect()))
+    (left,) = tmp_path.iterdir()
+    assert [p.name for p in left.iterdir()] == ["sharding"]
 
 
 def test_empty_documents(spark, sf_dir):
