@@ -471,7 +471,16 @@ def doc_report(spark, d):
     return got.select("path", "total_pages", *(F.nullif(F.array_join(F.col(c).cast("array<string>"), ","), F.lit("")).alias(c) for c in ("low_conf_pages", "recommend_vision")))
 
 
-@query("doc_json")
+_LIST = "coalesce(string_agg(n::VARCHAR, ',' ORDER BY n) FILTER (WHERE {}), '')"
+_PAGE_JSON = """'{"n":' || n || ',"mean_conf":' || to_json(round(mean_conf, 1)) || CASE WHEN issues <> '' THEN ',"flag":"review-vision"' ELSE '' END || ',"text":' || to_json(text) || '}'"""
+
+
+@query(
+    "doc_json",
+    f"""SELECT path, '{{"file":' || to_json(path) || ',"engine":"tesseract","lang":"eng","dpi":300,"preprocess":"auto","pages":[' || string_agg({_PAGE_JSON}, ',' ORDER BY n)
+|| '],"report":{{"total_pages":' || count(*) || ',"low_conf_pages":[' || {_LIST.format("round(mean_conf, 1) < 60")} || '],"recommend_vision":[' || {_LIST.format("issues <> ''")} || ']}}}}' AS json
+FROM ({FLAG_SQL}) JOIN (SELECT path, n, text FROM ({PAGES_SQL})) USING (path, n) GROUP BY path""",
+)
 def doc_json(spark, d):
     return render.to_json(_flagged(spark, d), {"engine": "tesseract", "lang": "eng", "dpi": 300})
 
@@ -513,10 +522,29 @@ def gate_vs_labels(spark, d):
     return r.join(table(spark, d, "labels"), "doc_id").groupBy("quality", "toxic", "readable").agg(F.count("*").alias("documents"))
 
 
-@query("recognize_stub")
+_STUB_WORDS = f"list_filter(regexp_split_to_array(text, '{T.WS_D}+'), lambda t: t <> '')"
+_STUB_CONF = "coalesce(list_avg(list_transform(range(c), lambda k: (31 * k + 7 * n) % 60 + {shift})), 0.0)"
+# rows of eleven words, of which five reach the third zone
+_STUB_ISSUES = "concat_ws(',', CASE WHEN {conf} < 60 THEN 'low_confidence' END, CASE WHEN c // 11 + (c % 11 >= 5)::INT >= 3 THEN 'table_like_unstructured' END)"
+STUB_SQL = f"""WITH d AS ({PROBE_SQL.replace(_SIGNALS["encrypted"] + " AS encrypted", "FALSE AS encrypted")}),
+p AS (SELECT path, n, {T.cleanup_sql("text")} AS text, len({_STUB_WORDS})::INT AS c, has_text_layer AS layer, text_layer_rejected AS rejected FROM ({PAGES_SQL}) JOIN d USING (path)),
+q AS (SELECT *, {_STUB_CONF.format(shift=25)} AS m0, {_STUB_CONF.format(shift=40)} AS m1 FROM p),
+r AS (SELECT *, {_STUB_ISSUES.format(conf="m0")} AS i0, {_STUB_ISSUES.format(conf="m1")} AS i1, NOT layer AND i0 <> '' AS again FROM q)
+SELECT path, n, CASE WHEN layer THEN 'text_layer' WHEN again THEN 'stub-clean' ELSE 'stub' END AS source, CASE WHEN layer THEN 100.0 ELSE round(CASE WHEN again THEN m1 ELSE m0 END, 1) END::DOUBLE AS mean_conf,
+CASE WHEN again AND i1 <> '' THEN 'review-vision' END AS flag, text, CASE WHEN layer THEN '' ELSE concat_ws(',', CASE WHEN again AND i1 <> '' THEN i1 END, CASE WHEN rejected THEN 'text_layer_rejected' END) END AS issues,
+CASE WHEN layer THEN 0 ELSE c END::INT AS n_words, CASE WHEN again THEN 'stub' END AS baseline, CASE WHEN again THEN 'stub-clean' END AS selected, CASE WHEN again THEN i0 END AS reasons,
+CASE WHEN again THEN 'stub:completed:' || round(m0 * 10)::INT || ',stub-clean:completed:' || round(m1 * 10)::INT END AS attempts FROM r"""
+
+
+@query("recognize_stub", STUB_SQL)
 def recognize_stub(spark, d):
     """The whole workflow with the stub engine: triage, text layer, recognition, flags, escalation."""
     from .recognize import Options, recognize
 
     pages = conversation_pages(spark, d).select("path", "n", "text")
-    return recognize(pages, Options(engine="stub", auto_escalate=("stub-clean",)), _signals(spark, d).withColumn("encrypted", F.lit(False)))
+    got = recognize(pages, Options(engine="stub", auto_escalate=("stub-clean",)), _signals(spark, d).withColumn("encrypted", F.lit(False)))
+    tried = F.transform("decision.attempts", lambda a: F.concat_ws(":", a["engine"], a["status"], F.round(a["mean_conf"] * 10).cast("int").cast("string")))
+    return got.select(
+        "path", "n", "source", "mean_conf", "flag", "text", F.array_join("issues", ",").alias("issues"), F.size("words").alias("n_words"),
+        F.col("decision.baseline").alias("baseline"), F.col("decision.selected").alias("selected"), F.array_join("decision.flag_reason", ",").alias("reasons"), F.array_join(tried, ",").alias("attempts"),
+    )
