@@ -1,16 +1,15 @@
-"""Results kept by content key: looked up by joins, replaced as a whole.
+"""Results kept by content key: looked up by joins, added to by parts.
 
-A cache is a folder of snapshots and a file that names the current one; readers of a snapshot are not disturbed by
-the next. A missing or unreadable cache is an empty one.
+A cache is a folder, on any file system that Spark writes to, of parts in Parquet and a file that lists the current
+ones; readers of a list are not disturbed by the next. A missing or unreadable cache is an empty one.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import uuid
-from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,33 +27,60 @@ def hits(inputs: DataFrame, cached: DataFrame, key: str = "key") -> DataFrame:
 class Cache:
     """Pages by key, in Parquet under a folder; nothing is kept where there is no folder."""
 
+    LIST, MOST_PARTS = "current.json", 64
+
     def __init__(self, spark: SparkSession, folder: str | None):
-        self.spark, self.folder = spark, Path(folder) if folder else None
+        self.spark, self.folder = spark, folder.rstrip("/") if folder else None
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def _files(self):
+        return self._path(self.LIST).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def current(self) -> str | None:
+    def parts(self) -> list[str]:
+        """Folders of the current parts."""
+        if self.folder is None:
+            return []
         try:
-            name = json.loads((self.folder / "current.json").read_text())["snapshot"]
-        except (AttributeError, OSError, ValueError, KeyError, TypeError):
-            return None
-        return str(self.folder / name) if (self.folder / name).is_dir() else None
+            stream = self._files().open(self._path(self.LIST))
+            try:
+                names = json.loads(bytes(stream.readAllBytes()))["parts"]
+            finally:
+                stream.close()
+            return [f"{self.folder}/{n}" for n in names if self._files().exists(self._path(n))]
+        except (Py4JError, ValueError, KeyError, TypeError):
+            return []
 
     def load(self, schema) -> DataFrame:
-        path = self.current()
-        return self.spark.read.schema(schema).parquet(path) if path else self.spark.createDataFrame([], schema)
+        parts = self.parts()
+        return self.spark.read.schema(schema).parquet(*parts) if parts else self.spark.createDataFrame([], schema)
 
     def merge(self, fresh: DataFrame, key: str = "key") -> None:
-        """Add rows, in place of those with the same keys. Written in full before it becomes current."""
+        """Add rows, in place of those with the same keys, as a part of their own. All parts are rewritten only where
+        keys are replaced or parts have become many. Written in full before it becomes current."""
         if self.folder is None:
             return
-        old = self.load(fresh.schema)
-        both = old.join(fresh.select(key).distinct(), key, "left_anti").select(fresh.columns).unionByName(fresh)
-        name = f"snapshot-{uuid.uuid4().hex}"
-        self.folder.mkdir(parents=True, exist_ok=True)
-        both.write.parquet(str(self.folder / name))
-        staged = self.folder / f".current-{uuid.uuid4().hex}"
-        staged.write_text(json.dumps({"snapshot": name}))
-        os.replace(staged, self.folder / "current.json")
+        parts, old = self.parts(), self.load(fresh.schema)
+        new = fresh.select(key).distinct()
+        if parts and (len(parts) >= self.MOST_PARTS or not old.select(key).join(new, key, "left_semi").isEmpty()):
+            fresh, parts = old.join(new, key, "left_anti").select(fresh.columns).unionByName(fresh), []
+        name = f"part-{uuid.uuid4().hex}"
+        fresh.write.parquet(f"{self.folder}/{name}")
+        self._list([p.rpartition("/")[2] for p in parts] + [name])
+
+    def _list(self, names: list[str]) -> None:
+        """Make these parts current, in one step."""
+        jvm, staged = self.spark._jvm, self._path(f".current-{uuid.uuid4().hex}")
+        out = self._files().create(staged)
+        out.write(json.dumps({"parts": names}).encode())
+        out.close()
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        over = self.spark.sparkContext._gateway.new_array(rename, 1)
+        over[0] = rename.OVERWRITE
+        target = self._files().makeQualified(self._path(self.LIST))
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(self._files().makeQualified(staged), target, over)
 
     def count(self) -> int:
-        path = self.current()
-        return self.spark.read.parquet(path).agg(F.count("*")).first()[0] if path else 0
+        parts = self.parts()
+        return self.spark.read.parquet(*parts).agg(F.count("*")).first()[0] if parts else 0

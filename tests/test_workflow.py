@@ -106,6 +106,23 @@ def test_cache_hits_need_no_engine(pages, spark, tmp_path):
     assert Cache(spark, str(tmp_path / "cache")).count() == 0 and Cache(spark, None).count() == 0
 
 
+def test_a_cache_grows_by_parts(spark, tmp_path, monkeypatch):
+    row = lambda *keys: spark.createDataFrame([(k, v) for k, v in keys], "key string, v int")
+    kept = Cache(spark, str(tmp_path / "cache"))
+    have = lambda: sorted((r.key, r.v) for r in kept.load("key string, v int").collect())
+    assert have() == []
+    kept.merge(row(("a", 1)))
+    kept.merge(row(("b", 2)))
+    assert have() == [("a", 1), ("b", 2)] and len(kept.parts()) == 2
+    before = kept.load("key string, v int")
+    kept.merge(row(("a", 3), ("c", 4)))
+    assert have() == [("a", 3), ("b", 2), ("c", 4)] and len(kept.parts()) == 1
+    assert before.count() == 2  # readers are not disturbed
+    monkeypatch.setattr(Cache, "MOST_PARTS", 1)
+    kept.merge(row(("d", 5)))
+    assert len(have()) == kept.count() == 4 and len(kept.parts()) == 1
+
+
 def test_only_pages_for_an_engine_are_rendered(pages):
     def render(todo):
         assert not todo.where("path = 'good.pdf'").count()
