@@ -70,15 +70,19 @@ def text_layer_branch(pages: DataFrame, probed: DataFrame, no_cleanup: bool = Fa
     return pages.join(usable, "path", "left_semi").select("path", "n", F.lit("text_layer").alias("source"), F.lit(100.0).alias("mean_conf"), text.alias("text"))
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark) -> str:
     """spark.checkpoint.dir; a temporary folder only where it is unset and Spark is local."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    application = spark.sparkContext.applicationId
+    if application not in _local:
+        _local[application] = "file://" + tempfile.mkdtemp(prefix="shared-")
+    return _local[application]
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
