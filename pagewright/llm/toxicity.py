@@ -201,7 +201,11 @@ def train(rows: list[tuple[int, int, np.ndarray, np.ndarray]], names: Sequence[s
         score = 1.25 * precision * recall / max(1e-9, 0.25 * precision + recall)
         if score > best + 1e-3 or (score > best - 1e-3 and abs(c - 0.5) < abs(threshold - 0.5)):
             best, threshold = max(best, score), float(c)
-    return Chain(done, weights, threshold)
+    chain = Chain(done, weights, threshold)
+    none = chain.score(pa.array([""]))[0, -1]
+    if none >= threshold:  # where few examples make a low threshold, what has no words is still no evidence
+        chain.threshold = float(np.nextafter(none, 1.0))
+    return chain
 
 
 def scored(model: Chain, text: str | Column, spark) -> Column:
@@ -220,7 +224,7 @@ def scored(model: Chain, text: str | Column, spark) -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """doc_id, a probability p_<category> for each category of the chain, and ``toxic``, for every row of docs.
 
-    A null or wordless text gets the probability of no evidence. Repeated rows and null ids are scored like others;
+    A null or wordless text gets the probability of no evidence and is not toxic. Repeated rows and null ids are scored like others;
     the whole text counts. An empty df gives an empty result.
     """
     model = fit(docs, labels, id_column=id_column, text=text, **options)

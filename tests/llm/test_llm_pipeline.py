@@ -2,7 +2,7 @@ import corpus_pipeline as P
 import pytest
 from conftest_words import words
 
-from pagewright.llm import decontamination, mixing, ngram_join, sharding, toxicity
+from pagewright.llm import common, decontamination, mixing, ngram_join, sharding, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -73,19 +73,31 @@ def test_each_decision_takes_effect(stages, spark, sf_dir):
     assert {(r.doc_id, r.shard_id) for r in after.collect()} == want and ids(after) == ids(before)
 
 
-def test_run_gives_the_last_stage_and_leaves_nothing_else(stages, spark, sf_dir, tmp_path):
+def test_run_gives_the_last_stage_and_leaves_nothing_else(stages, spark, sf_dir, tmp_path, monkeypatch):
     key = lambda r: (r.doc_id, r.range_id, r.shard_id)
-    was = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        got = P.run(spark, sf_dir)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", was)
+    for module in (P, common):
+        monkeypatch.setattr(module, "shared_dir", lambda spark: f"file://{tmp_path}")
+    got = P.run(spark, sf_dir)
     assert sorted(map(key, got.collect())) == sorted(map(key, stages["sharding"][1].collect()))
     (left,) = tmp_path.iterdir()
     assert [p.name for p in left.iterdir()] == ["sharding"]
 
 
+def test_a_folder_is_made_where_none_is_named():
+    class Context:
+        applicationId, master = "some-application", "local[2]"
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+
+    first = common.shared_dir(Session())
+    assert first == common.shared_dir(Session()) and first.startswith("file://")
+    Context.master = "spark://somewhere"
+    with pytest.raises(ValueError):
+        common.shared_dir(Session())
+
+
 def test_empty_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in P.STAGES:

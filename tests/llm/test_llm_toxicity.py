@@ -161,6 +161,7 @@ def test_odd_rows(odd, none, spark):
     assert len(rows) == odd.count() and all(0 <= r.p_toxic <= 1 for r in rows)
     by = {r.doc_id: r for r in rows}
     assert by[2].p_toxic == by[3].p_toxic == by[4].p_toxic
+    assert not (by[2].toxic or by[3].toxic or by[4].toxic)
     kept = X.reject_toxic(odd, labels)
     assert kept.columns == odd.columns
     assert kept.count() == sum(not r.toxic for r in rows)
