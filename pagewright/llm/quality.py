@@ -7,6 +7,7 @@ a sparse dot product: the mean weight of the tokens and pairs that occur.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as T
-from .linear import Ftrl, labelled, sigmoid
+from .common import scratch
+from .linear import Examples, Ftrl, examples, sigmoid, unpack
 
-BITS, SCALE, TRAIN_ROWS, EPOCHS, KEPT = 20, 20.0, 6000, 3, 0.999
+BITS, SCALE, EPOCHS, KEPT, HELD = 20, 20.0, 3, 0.999, 5
 
 
 def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -58,25 +60,53 @@ class Quality:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, epochs: int = EPOCHS, kept: float = KEPT, id_column: str = "doc_id", text: str = "text") -> Quality:
-    """Fitted on about ``train_rows`` labelled documents (labels: doc_id, quality 0 or 1), picked by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, epochs: int = EPOCHS, kept: float = KEPT, id_column: str = "doc_id", text: str = "text") -> Quality:
+    """Fitted on every labelled document (labels: doc_id, quality 0 or 1).
 
-    A fifth of them is held out to set the threshold: the largest, up to 0.5, that keeps the share ``kept`` of the
-    good ones. The final weights are of the whole sample. Without labels every score is 0.5 and all is kept.
+    A fifth of them, by a hash of the id, is held out to set the threshold: the largest, up to 0.5, that keeps the
+    share ``kept`` of the good ones. The final weights are of all. Documents are visited in blocks by ranges of the
+    hash, and in an order drawn anew each epoch within a block. FTRL's updates follow one another, so the driver makes
+    them, with a block in memory at a time. Without labels every score is 0.5 and all is kept.
     """
-    rows = labelled(docs, labels, "quality", train_rows, _features, id_column, text)
-    size = 1 << BITS
-    if not rows:
-        return Quality(np.zeros(size + 1), 0.5)
-    x, y = [(at, v) for _, _, at, v in rows], np.array([r[1] for r in rows], float)
-    out = np.array([r[0] for r in rows]) % 5 == 0
-
-    def train(at) -> Ftrl:
-        return Ftrl(size, alpha=1.0, l1=0.3, l2=0.1).fit([x[i] for i in at], y[at], epochs)
-
-    good = train(np.flatnonzero(~out)).predict([x[i] for i in np.flatnonzero(out & (y > 0))])
-    threshold = float(min(0.5, np.quantile(good, 1 - kept))) if len(good) else 0.5
-    return Quality(train(np.arange(len(rows))).weights(), threshold)
+    spark = docs.sparkSession
+    with scratch(spark):
+        every = examples(docs, labels, "quality", _features, id_column, text)
+        size = 1 << BITS
+        trial, final = (Ftrl(size, alpha=1.0, l1=0.3, l2=0.1) for _ in range(2))
+        one, two = (np.random.default_rng(0) for _ in range(2))
+        seen = held = 0
+        for epoch in range(epochs):
+            for i in range(every.blocks):
+                rows = every.block(i)
+                x, y = [r[2:] for r in rows], np.array([r[1] for r in rows], float)
+                out = np.array([r[0] for r in rows], np.int64) % HELD == 0
+                inside = np.flatnonzero(~out)
+                trial.once([x[j] for j in inside], y[inside], one)
+                final.once(x, y, two)
+                if epoch == 0:
+                    seen, held = seen + len(rows), held + int((out & (y > 0)).sum())
+        if not seen:
+            return Quality(np.zeros(size + 1), 0.5)
+        return Quality(final.weights(), min(0.5, _quantile(every, trial, held, 1 - kept)) if held else 0.5)
+
+
+def _quantile(every: Examples, trial: Ftrl, count: int, share: float) -> float:
+    """What the share of the ``count`` good documents held out score less than, interpolated."""
+    w = trial.weights()
+    at, size = np.flatnonzero(w), len(w)
+    shared = every.table.sparkSession.sparkContext.broadcast((at, w[at]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = np.zeros(size)
+        w[shared.value[0]] = shared.value[1]
+        for batch in batches:
+            rows = (unpack(*r) for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array([sigmoid(w[k] @ x + w[-1]) for k, x in rows], pa.float64())], names=["p"])
+
+    rank = (count - 1) * share
+    good = every.table.where((F.col("h") % HELD == 0) & (F.col("y") > 0)).select("n", "packed").mapInArrow(run, "p double")
+    least = [r.p for r in good.orderBy("p").limit(int(rank) + 2).collect()]
+    return float(np.quantile(least[int(rank) :], rank - int(rank)))
 
 
 def scored(model: Quality, text: str | Column, spark) -> Column:

@@ -1,3 +1,4 @@
+import os
 import re
 from collections import Counter
 from functools import lru_cache
@@ -8,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.llm import arrowtext as T
+from pagewright.llm import linear
 from pagewright.llm import quality as Q
+from pagewright.llm.common import shared_dir
 from pagewright.llm.linear import Ftrl
 
 
@@ -105,6 +108,80 @@ def test_the_whole_query_against_brute_force(load):
         assert abs(r.score - threshold) < 1e-6 or r.keep == (r.score >= threshold)
 
 
+def in_blocks(texts, marks, blocks, epochs=Q.EPOCHS):
+    """Weights and threshold by dictionaries: every labelled text, a block of hashes after another. texts: (id, text)
+    rows; marks: (label, hash) by id."""
+    rows, seen = [], set()
+    for h, y, f in sorted(((marks[i][1], marks[i][0], plain_features(t)) for i, t in texts if i in marks), key=lambda r: r[:2]):
+        if frozenset(f.items()) not in seen:
+            seen.add(frozenset(f.items()))
+            rows.append((h, y, {c: float(np.float32(v)) for c, v in sorted(f.items())}))
+    models = []
+    for part in ([r for r in rows if r[0] % 5], rows):
+        model = Ftrl(1 << Q.BITS, alpha=1.0, l1=0.3, l2=0.1)
+        rng = np.random.default_rng(0)
+        for _ in range(epochs):
+            for b in range(blocks):
+                block = [r for r in part if r[0] * blocks >> 30 == b]
+                for j in rng.permutation(len(block)):
+                    f = block[j][2]
+                    model.update(np.array([*f, 1 << Q.BITS]), np.array([*f.values(), 1.0]), block[j][1])
+        models.append(model.weights())
+    p = [1 / (1 + np.exp(-(sum(models[0][c] * v for c, v in f.items()) + models[0][-1]))) for h, y, f in rows if h % 5 == 0 and y]
+    return models[1], min(0.5, float(np.quantile(p, 1 - Q.KEPT))), len(rows)
+
+
+def marked(labels):
+    """An id's largest label, and its hash."""
+    rows = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("y")).select("doc_id", "y", F.expr("pmod(xxhash64(doc_id), 1073741824)")).collect()
+    return {i: (y, h) for i, y, h in rows}
+
+
+def test_every_labelled_document_counts(spark):
+    """More of them than one block holds, each with a word of its own; those that are bad by a word that few share."""
+    n = 7000
+    texts = [(i, f"w{i} says {'rubbish' if i % 50 == 7 else 'sense'} to {i % 13}") for i in range(n)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 50 != 7)) for i in range(n)], "doc_id long, quality int")
+    weights, threshold, count = in_blocks(texts, marked(labels), 2)
+    model = Q.fit(docs, labels)
+    assert count == n
+    assert model.weights == pytest.approx(weights, abs=1e-9) and model.threshold == pytest.approx(threshold, abs=1e-9)
+
+
+def test_blocks_and_passes(load, odd, monkeypatch):
+    """Many blocks and labels in several passes, with repeated rows, texts that are alike in several blocks, long ones
+    and empty ones; nothing is left in the shared folder."""
+    docs, labels = load("documents"), load("labels").select("doc_id", "quality")
+    odd = odd.select(F.col("doc_id") + 10**6, "text").toDF("doc_id", "text")
+    more = docs.select(F.col("doc_id") + 2 * 10**6, "text").toDF("doc_id", "text")
+    docs = docs.select("doc_id", "text").unionByName(odd).unionByName(more)
+    labels = labels.union(odd.select("doc_id", F.lit(1))).union(odd.select("doc_id", F.lit(0))).union(more.select("doc_id", (F.col("doc_id") % 7 > 0).cast("int")))
+    texts = [tuple(r) for r in docs.collect()]
+    marks, once = marked(labels), Q.fit(docs, labels)
+    here = sum(i in marks for i, _ in texts)
+    monkeypatch.setattr(linear, "BLOCK", 40)
+    monkeypatch.setattr(linear, "BROADCAST_BYTES", 2000)
+    blocks = -(-here // 40)
+    weights, threshold, count = in_blocks(texts, marks, blocks)
+    before = set(os.listdir(shared_dir(docs.sparkSession).removeprefix("file://")))
+    model = Q.fit(docs.repartition(7), labels)
+    assert blocks > 5 and count < here
+    assert model.weights == pytest.approx(weights, abs=1e-9) and model.threshold == pytest.approx(threshold, abs=1e-9)
+    assert set(os.listdir(shared_dir(docs.sparkSession).removeprefix("file://"))) == before
+    monkeypatch.setattr(linear, "BLOCK", 4096)
+    model = Q.fit(docs, labels)  # passes alone change nothing
+    assert model.weights.tolist() == once.weights.tolist() and model.threshold == once.threshold
+
+
+def test_packed_features_come_back():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5, 3000):
+        at, x = np.sort(rng.choice(1 << Q.BITS, n, replace=False)), rng.random(n)
+        got = linear.unpack(n, linear.pack(at, x))
+        assert got[0].tolist() == at.tolist() and got[1].tolist() == x.astype(np.float32).tolist()
+
+
 def test_held_out_accuracy(load):
     d = "/root/testdata/sf0.01"
     docs, labels = load("documents", d), load("labels", d)
