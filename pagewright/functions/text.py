@@ -90,15 +90,18 @@ length(regexp_replace({s}, '[^\x{{FFFD}}\x00-\x1f]', '', 'g')) AS bad, len({toke
 len(list_filter({tokens}, lambda t: regexp_matches(t, '{LETTER}{{3,}}') OR regexp_matches(t, '{NUMERIC_D}'))) AS wordlike"""
 
 
+def four_places(x: Column) -> Column:
+    """To four places as DuckDB rounds: by the double that is 10,000 times x. Spark would go by x's shortest decimal, and
+    take 57 / 800, which is a little less than 0.07125, up."""
+    return F.round(x * 10_000.0) / 10_000.0
+
+
 def ratio(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, F.round(part / whole, 4)).otherwise(0.0)
+    return F.when(whole > 0, four_places(part / whole)).otherwise(0.0)
 
 
 def readability(x: Str) -> Column:
-    """Struct of letter_digit_ratio, word_score, replacement_ratio, each to four places; zeros for no text.
-
-    To four places as Spark rounds: half away from zero.
-    """
+    """Struct of letter_digit_ratio, word_score, replacement_ratio, each to ``four_places``; zeros for no text."""
     return ratios(readability_counts(x))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.codes import classify
-from pagewright.functions.text import Str, _c, nonspace_bytes, ratios, readability_counts, strip
+from pagewright.functions.text import Str, _c, four_places, nonspace_bytes, ratios, readability_counts, strip
 
 MIN_CHARS, MIN_ALNUM, MIN_WORDS, MAX_BAD, MASKS, SAMPLE_PAGES = 30, 0.55, 0.5, 0.05, 3, 3
 
@@ -80,7 +80,7 @@ def decide(encrypted: Str, median: Str, fonts: Str, bare_fonts: Str, masks: Str,
         rejected.alias("text_layer_rejected"),
         suspected.alias("suspected_rasterized_text"),
         covered.alias("high_image_coverage"),
-        F.when(fonts > 0, F.round((fonts - bare) / fonts, 4)).alias("font_unicode_coverage"),
+        F.when(fonts > 0, four_places((fonts - bare) / fonts)).alias("font_unicode_coverage"),
         F.concat_ws("; ", main, all_bare, fonts_say, F.when(covered, F.concat(masks, F.lit(" image masks detected")))).alias("reason"),
     )
 
