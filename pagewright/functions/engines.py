@@ -51,12 +51,31 @@ def engine(name: str) -> Engine:
     return _ENGINES[name]
 
 
+#: Bytes, about, of text and content that an engine is given at once, or one page of more: words take some hundred times
+#: as much as Python objects, and a batch of Spark's has 10,000 pages of any length.
+PIECE_BYTES = 1 << 18
+
+
+def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of batches, in order, in frames of at most PIECE_BYTES of text and content or of one row."""
+    for b in batches:
+        sizes = [sum(len(x) for x in row if isinstance(x, (str, bytes))) for row in zip(*(b[c] for c in ("text", "content") if c in b))]
+        begin, held = 0, 0
+        for i, size in enumerate(sizes):
+            if i > begin and held + size > PIECE_BYTES:
+                yield b.iloc[begin:i].reset_index(drop=True)
+                begin, held = i, 0
+            held += size
+        if begin < len(b):
+            yield b.iloc[begin:].reset_index(drop=True)
+
+
 def apply(pages: DataFrame, name: str) -> DataFrame:
     """Results of an engine on pages (path, n, content or text, and lang where it is known)."""
     run = engine(name).run
 
     def timed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in run(batches):
+        for b in run(pieces(batches)):
             yield b if "elapsed_s" in b else b.assign(elapsed_s=None)
 
     return pages.mapInPandas(timed, RESULT)

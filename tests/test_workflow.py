@@ -602,3 +602,22 @@ def test_stream_windows(spark, tmp_path):
     q.awaitTermination()
     got = [tuple(r)[1:3] for r in spark.sql("SELECT * FROM windows ORDER BY start").collect()]
     assert got == [(10, 6), (10, 7), (10, 7)] * 2
+
+
+def test_engines_get_pages_by_bytes(spark):
+    """A batch of Spark's has 10,000 pages; their words as Python objects would fill an executor's memory."""
+    most = 1 << 18
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame({"path": b["path"], "n": b["n"], "text": b["text"], "markdown": None, "mean_conf": float(len(b)), "words": [[] for _ in range(len(b))], "error": None})
+
+    engines.register_engine("counting", run)
+    text = F.when(F.col("id") == 7, F.repeat(F.lit("y"), 3 * most)).when(F.col("id") % 5 != 0, F.repeat(F.lit("x"), 4096))
+    pages = spark.range(2000).coalesce(1).select(F.lit("a").alias("path"), F.col("id").cast("int").alias("n"), text.alias("text"))
+    got = {r.n: r for r in engines.apply(pages, "counting").collect()}
+    assert sorted(got) == list(range(2000))
+    assert got[0].text is None and len(got[7].text) == 3 * most
+    assert got[7].mean_conf == 1 and max(r.mean_conf for r in got.values()) <= 2 * most / 4096
